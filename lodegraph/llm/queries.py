@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, mixing, simhash, token_output
+from . import decontaminate, langid, mixing, quality, rules, simhash, token_output
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,8 +40,17 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_documents(spark, sf_dir))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rules.apply_rules(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), stratum="lang", alpha=0.05, delta=0.05)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op10_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.7)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_output, op4_simhash, op5_mixing, op7_decontaminate, op9_language_id)}
+    return {f.__name__: f for f in (op1_token_output, op2_quality_rules, op4_simhash, op5_mixing, op7_decontaminate, op9_language_id, op10_quality_score)}
 
 
 def oracle_sql() -> dict[str, str]:
