@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from . import common
-from .tokenize import Encoder, load_spec, tokenizer
+from .tokenize import encoder, load_spec
 
 BLOCKS = "shard int, block int, start long, n_tokens long, bits int, doc_ids array<long>, lens array<long>, payload binary"
 
@@ -60,13 +60,13 @@ def write_blocks(docs: DataFrame, path: str, *, tokenizer_path: str, end_id: int
     """Writes the blocks of docs (doc_id, text) to path and returns them as read back."""
     spark = docs.sparkSession
     spec = load_spec(tokenizer_path)
-    bits = bits_for(max(tokenizer(spec).get_vocab_size(), end_id + 1))
+    bits = bits_for(max(encoder(spec).tokenizer.get_vocab_size(), end_id + 1))
     sent = spark.sparkContext.broadcast(spec)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, enc = TaskContext.get().partitionId(), Encoder(sent.value)
+        shard, enc = TaskContext.get().partitionId(), encoder(sent.value)
         end = np.array([end_id], dtype="<u4").tobytes()
         names = [f.split()[0] for f in BLOCKS.split(", ")]
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]

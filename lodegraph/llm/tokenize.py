@@ -1,73 +1,104 @@
 """Encoding of whole texts with a public byte-level BPE, piece by piece from a cache.
 
-A byte-level BPE of this family never lets a token reach over a single space between two other characters: the
-space starts the next token. So a text may be cut before each such space, each distinct piece encoded once by the
-tokenizers library, and the ids of the pieces put together; the result is that of encoding the whole text.
+A byte-level BPE of this family never lets a token reach over a single space between two other characters: the space
+starts the next token. So a text is cut before each such space, a piece seen before costs one look-up, and a new piece
+is split by the tokenizer's own pre-tokenisation, whose parts the tokenizers library's model encodes. The ids put
+together are those of encoding the whole text at once; tests hold them against that.
 """
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 import numpy as np
 
-#: Pieces kept per Python worker, and the longest piece kept; others are encoded anew.
-CACHE_PIECES, CACHE_CHARS = 300_000, 48
-_CUT = re.compile(r"(?<=\S)(?= \S)")
-
-
-@lru_cache(maxsize=2)
-def tokenizer(spec: str):
-    """A tokenizer from its JSON; the strings of special tokens in a text are ordinary text."""
-    from tokenizers import Tokenizer
-
-    out = Tokenizer.from_str(spec)
-    out.encode_special_tokens = True
-    return out
+#: Entries that a Python worker keeps of either kind, and the longest text kept. A full cache takes no more until it
+#: has been missed 16 times as often as it has entries; then it starts anew. What is not kept is encoded again.
+CACHE_PIECES, CACHE_WORDS, CACHE_CHARS = 400_000, 500_000, 40
+#: The published pre-tokenisation of this family, and the characters that stand for bytes in its vocabulary.
+_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_SELF = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_AS_CHARS = {b: chr(b) for b in _SELF} | {b: chr(0x100 + i) for i, b in enumerate(x for x in range(256) if x not in set(_SELF))}
 
 
 class Encoder:
-    """ids(texts) as uint32 arrays; with offsets=True also the code point spans of the tokens."""
-
-    def __init__(self, spec: str, offsets: bool = False) -> None:
-        self.tok, self.offsets, self.cache = tokenizer(spec), offsets, {}
-
-    def _fill(self, pieces) -> dict:
-        """What the cache lacks of pieces, encoded in one batch; long pieces only for this call."""
-        fresh = [p for p in pieces if p not in self.cache]
-        if len(self.cache) + len(fresh) > CACHE_PIECES:
-            self.cache.clear()
-            fresh = list(pieces)
-        extra = {}
-        encode = self.tok.encode_batch if self.offsets else self.tok.encode_batch_fast
-        for i in range(0, len(fresh), 4096):
-            part = fresh[i : i + 4096]
-            for piece, e in zip(part, encode(part, add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, dtype="<u4").tobytes()
-                got = (ids, np.array(e.offsets, dtype=np.int64).reshape(-1, 2)) if self.offsets else ids
-                (self.cache if len(piece) <= CACHE_CHARS else extra)[piece] = got
-        return extra
+    """ids(text) as uint32; spans(text) also gives each token's first code point and the one after its last."""
+
+    def __init__(self, spec: str) -> None:
+        import regex
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(spec)
+        self.model, self.parts = self.tokenizer.model, regex.compile(_PARTS)
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.missed = [0, 0]
+        self.widths: np.ndarray | None = None
+
+    def _keep(self, kind: int, cache: dict, most: int, key: str, value: bytes) -> None:
+        if len(key) > CACHE_CHARS:
+            return
+        if len(cache) >= most:
+            self.missed[kind] += 1
+            if self.missed[kind] < 16 * most:
+                return
+            cache.clear()
+            self.missed[kind] = 0
+        cache[key] = value
+
+    def _word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            as_bytes = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(_AS_CHARS)
+            found = np.array([t.id for t in self.model.tokenize(as_bytes)], dtype="<u4").tobytes()
+            self._keep(1, self.words, CACHE_WORDS, word, found)
+        return found
 
     def ids(self, text: str | None) -> np.ndarray:
+        """Pieces begin with their space, which is left out of the cache's keys."""
         if not text:
             return np.zeros(0, dtype="<u4")
-        pieces = _CUT.split(text)
-        extra = self._fill(dict.fromkeys(pieces))
-        get = self.cache.__getitem__ if not extra else lambda p: extra.get(p) or self.cache[p]
-        return np.frombuffer(b"".join(map(get, pieces)), dtype="<u4")
+        first, *pieces = text.split(" ")
+        found = list(map(self.pieces.get, pieces))
+        if None in found:
+            for i, f in enumerate(found):
+                if f is None:
+                    piece = pieces[i]
+                    if not piece or piece[0].isspace() or piece[-1].isspace():
+                        return self._spaced(text)
+                    get = self.words.get
+                    found[i] = b"".join([get(w) or self._word(w) for w in self.parts.findall(" " + piece)])
+                    self._keep(0, self.pieces, CACHE_PIECES, piece, found[i])
+        if first and not first[-1].isspace():
+            found.insert(0, b"".join(map(self._word, self.parts.findall(first))))
+        elif first or pieces:
+            return self._spaced(text)
+        return np.frombuffer(b"".join(found), dtype="<u4")
+
+    def _spaced(self, text: str) -> np.ndarray:
+        """Where other white space touches a space, the text is cut by the pattern alone."""
+        return np.frombuffer(b"".join(map(self._word, self.parts.findall(text))), dtype="<u4")
 
     def spans(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """ids, and each token's first code point and the one after its last."""
-        if not text:
-            return np.zeros(0, dtype="<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        pieces = _CUT.split(text)
-        extra = self._fill(dict.fromkeys(pieces))
-        got = [extra.get(p) or self.cache[p] for p in pieces]
-        ids = np.frombuffer(b"".join(g[0] for g in got), dtype="<u4")
-        at = np.concatenate([[0], np.cumsum([len(p) for p in pieces])[:-1]])
-        offsets = np.concatenate([g[1] for g in got]) + np.repeat(at, [len(g[1]) for g in got])[:, None]
-        return ids, offsets[:, 0], offsets[:, 1]
+        """A token's bytes are as many as its vocabulary entry has characters; they lead to its code points."""
+        ids = self.ids(text)
+        if not len(ids):
+            return ids, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if self.widths is None:
+            vocabulary = self.tokenizer.get_vocab()
+            self.widths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+            for token, i in vocabulary.items():
+                self.widths[i] = len(token)
+        ends = np.cumsum(self.widths[ids])
+        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        point = np.cumsum((raw & 0xC0) != 0x80) - 1
+        return ids, point[np.concatenate([[0], ends[:-1]])], point[ends - 1] + 1
+
+
+@lru_cache(maxsize=1)
+def encoder(spec: str) -> Encoder:
+    """One encoder per Python worker; its cache serves all tasks that the worker runs."""
+    return Encoder(spec)
 
 
 def load_spec(path: str) -> str:
