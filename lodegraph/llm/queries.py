@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, mixing, quality, rules, simhash, token_output
+from . import decontaminate, langid, licenses, mixing, quality, rules, simhash, token_counts, token_output
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,11 +31,19 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_documents(spark, sf_dir), tokenizer_path=_vocabulary(), rule="largest")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.decontaminate(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "longest_item", "longest_at")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_documents(spark, sf_dir))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_documents(spark, sf_dir))
 
@@ -50,8 +58,8 @@ def op10_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_output, op2_quality_rules, op4_simhash, op5_mixing, op7_decontaminate, op9_language_id, op10_quality_score)}
+    return {f.__name__: f for f in (op1_token_output, op2_quality_rules, op4_simhash, op5_mixing, op6_token_counts, op7_decontaminate, op8_license_scan, op9_language_id, op10_quality_score)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_license_scan": licenses.scan_sql()}
