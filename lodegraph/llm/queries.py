@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, licenses, mixing, quality, rules, simhash, token_counts, token_output
+from . import decontaminate, langid, licenses, mixing, quality, rules, simhash, suffix_dedup, token_counts, token_output
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(_documents(spark, sf_dir), length=100).drop("kept")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_documents(spark, sf_dir), shingle=3)
 
@@ -58,7 +62,7 @@ def op10_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_output, op2_quality_rules, op4_simhash, op5_mixing, op6_token_counts, op7_decontaminate, op8_license_scan, op9_language_id, op10_quality_score)}
+    return {f.__name__: f for f in (op1_token_output, op2_quality_rules, op3_suffix_dedup, op4_simhash, op5_mixing, op6_token_counts, op7_decontaminate, op8_license_scan, op9_language_id, op10_quality_score)}
 
 
 def oracle_sql() -> dict[str, str]:
