@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit_queries, graph_queries, rank_queries  # noqa: F401  they register their queries
+from . import audit_queries, graph_queries, rank_queries, stream_queries  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES
 
 
