@@ -61,6 +61,14 @@ def _remove_all() -> None:
             return
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """name, lengthened until no column of docs has it in any case: working columns never hide those of a table."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def remainder(column: str, modulus: int):
     """crc32 of the value as text, modulo modulus: the folds of the contracts. A null id falls in fold 0."""
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus)), F.lit(0))

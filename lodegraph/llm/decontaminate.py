@@ -235,5 +235,6 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFra
     """docs without the rows whose text holds a window of the benchmark; every row of such a doc_id goes."""
     from . import common
 
-    bad = common.written(decontaminate(docs, benchmark, **options).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    name = common.fresh(docs, "bad")
+    bad = common.written(decontaminate(docs, benchmark, **options).where("contaminated").select(F.col("doc_id").alias(name)).distinct(), "contaminated")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")

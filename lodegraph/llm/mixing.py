@@ -127,10 +127,13 @@ def mixed_documents(docs: DataFrame, *, most: int = 2, block: int = 32, **option
     """
     import re
 
-    plan = mix(docs, most=most, block=block, **options).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), "first", "words", "blocks", "quota", "offset").dropDuplicates(["_id", "_h"])
+    places = ("first", "words", "blocks", "quota", "offset")
+    own_id, own_hash, text_hash, *place_names = (common.fresh(docs, f"_{c}") for c in ("id", "hash", "text_hash", *places))
+    plan = mix(docs, most=most, block=block, **options).where("taken > 0").dropDuplicates(["doc_id", "text_hash"])
+    plan = plan.select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash), *[F.col(c).alias(n) for c, n in zip(places, place_names, strict=True)])
     names, schema = docs.columns, docs.schema
-    own = docs.withColumn("_text_hash", F.xxhash64("text"))
-    own = own.join(plan.select("_id", "_h", *[F.col(c).alias(f"_{c}") for c in ("first", "words", "blocks", "quota", "offset")]), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_h")))
+    own = docs.withColumn(text_hash, F.xxhash64("text"))
+    own = own.join(plan, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(text_hash) == F.col(own_hash)))
     at = names.index("text")
     chars = names.index("n_chars") if "n_chars" in names else None
 
@@ -138,7 +141,7 @@ def mixed_documents(docs: DataFrame, *, most: int = 2, block: int = 32, **option
         word = re.compile(common.WORD)
         for batch in batches:
             rows, texts = [], []
-            place = [batch.column(batch.schema.get_field_index(f"_{c}")).to_pylist() for c in ("first", "words", "blocks", "quota", "offset")]
+            place = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in place_names]
             for i, (text, first, words, blocks, quota, offset) in enumerate(zip(batch.column(at).to_pylist(), *place, strict=True)):
                 spans = None
                 for turn in range(most):
