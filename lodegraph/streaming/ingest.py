@@ -13,7 +13,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 
@@ -67,7 +67,7 @@ def run(stream: DataFrame, keys: Sequence[str] | None, mode: str, tag: str) -> D
         batch.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
     stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    schema = stream.schema.add("_batch", "long")
+    schema = StructType([*stream.schema.fields, StructField("_batch", LongType())])
     rows = spark.read.schema(schema).parquet(f"{base}/out")
     if not keys:
         return rows.select(*stream.columns)
