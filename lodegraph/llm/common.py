@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 #: Used only where the session names no shared folder, as in tests on one machine.
 LOCAL_FALLBACK = "/tmp/lodegraph-checkpoints"
@@ -74,6 +75,18 @@ def remainder(column: str, modulus: int):
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus)), F.lit(0))
 
 
+def seeded_sample(rows: DataFrame, group: str, n: int, most_groups: int, seed: int) -> DataFrame:
+    """Of each of the most_groups largest groups the n rows whose doc_id has the least seeded hash; rows have no text.
+
+    Counts come first, so only about 2n rows of a group, however large, go on to be ordered in one task.
+    """
+    rows = rows.withColumn("_u", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) / float(1 << 53))
+    counts = rows.groupBy(group).agg(F.count("*").alias("_n")).orderBy(F.col("_n").desc(), group).limit(most_groups)
+    near = rows.join(F.broadcast(counts), group).where(F.col("_u") * F.col("_n") <= 2 * n + 100)
+    nth = F.row_number().over(W.partitionBy(group).orderBy("_u", "doc_id"))
+    return near.withColumn("_r", nth).where(F.col("_r") <= n).drop("_u", "_n", "_r")
+
+
 def components(edges: DataFrame, tag: str = "components", most_rounds: int = 60) -> DataFrame:
     """(node, component) for all nodes of edges (a, b): component is the least node that can be reached.
 

@@ -7,8 +7,8 @@ the mean of its windows' probabilities, weighted by their bytes.
 As embedding and filter are both linear, each filter column is folded with the embedding into a table of 256 rows
 before scoring: a window's responses are sums of table rows, without a matrix product per byte.
 
-Training takes a bounded sample: of each language at most `per_language` rows, least hash first, and of each
-`windows_per_doc` windows at seeded places of the whole text. Scoring takes only the text.
+Training takes a bounded sample: of each of the `max_languages` most frequent languages at most `per_language` rows,
+least hash first, and of each `windows_per_doc` windows at seeded places of the whole text. Scoring takes only the text.
 
 Edge cases: a text that is null or has no letter is `und` with score 0; without labelled rows everything is; repeated
 rows get equal results; an empty table gives no rows; further columns are not read.
@@ -23,7 +23,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from . import common
 
@@ -123,9 +122,8 @@ def train(docs: DataFrame, fold: int = 5, per_language: int = 700, windows_per_d
     """Fits on rows whose fold remainder is not 0; at most per_language * windows_per_doc windows a language."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & (F.length("text") > 0) & (common.remainder("doc_id", fold) != 0))
-    first = F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))
     # The rows are picked without their texts; the bounded set of ids then picks the texts.
-    picked = rows.select("lang", "doc_id", F.xxhash64(F.lit(seed), "doc_id", F.length("text")).alias("h")).withColumn("r", first).where(F.col("r") <= per_language).select("doc_id").distinct().limit(per_language * max_languages)
+    picked = common.seeded_sample(rows.select("lang", "doc_id"), "lang", per_language, max_languages, seed).select("doc_id").distinct()
     at = lambda k: F.pmod(F.xxhash64(F.lit(seed + k), "doc_id"), F.greatest(F.length("text") - WINDOW // 2, F.lit(1))).cast("int") + 1
     cuts = F.array(*[F.col("text").substr(F.lit(1) if k == 0 else at(k), F.lit(WINDOW)) for k in range(windows_per_doc)])
     sample = rows.join(F.broadcast(picked), "doc_id").select("lang", "doc_id", cuts.alias("cuts")).orderBy("doc_id", "lang").collect()

@@ -25,7 +25,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from . import common
 
@@ -122,8 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: int
     """Fits on labelled rows outside the held-out fold: at most per_class of either label."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     known = known.where(common.remainder("doc_id", fold) != held_out).groupBy("doc_id").agg(F.min("y").alias("y"))
-    nth = F.row_number().over(W.partitionBy("y").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id"))
-    picked = known.withColumn("r", nth).where(F.col("r") <= per_class).select("doc_id", "y")
+    picked = common.seeded_sample(known, "y", per_class, 2, seed).select("doc_id", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
