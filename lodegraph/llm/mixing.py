@@ -9,8 +9,9 @@
    exactly, spread evenly. Both the count and the words of any stretch follow in closed form, so a document's share
    costs one row, whatever the block size.
 
-Shards hold about `shard_words` words (and at most about `shard_docs` documents) of one source, so that a source with
-a third of all rows is many shards. Only counts by source and shard meet in one task.
+Shards hold about `shard_words` words (and at most about `shard_docs` documents) of one source, and up to `spread`
+shards of a source are made as soon as each has 1024 documents, so that a source with a third of all rows is many
+shards. Only counts by source and shard meet in one task.
 
 Edge cases: null text has size 0 and nothing is taken; the null source is a source, the last; a source of size 0 has
 target 0; repeated rows are documents of their own; an empty table gives no rows; further columns are not read.
@@ -74,7 +75,7 @@ def _before(at: Column, n: Column, q: Column, u: Column, block: int) -> Column:
     return (upto(b) - F.floor(u / n)) * block + (at - b * block) * (upto(b + 1) - upto(b))
 
 
-def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: int = 2, block: int = 32, shard_words: int = 1 << 22, shard_docs: int = 1 << 16, seed: int = 11) -> DataFrame:
+def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: int = 2, block: int = 32, shard_words: int = 1 << 22, shard_docs: int = 1 << 16, spread: int = 1024, seed: int = 11) -> DataFrame:
     """Per row of docs: doc_id, size, source, source_size, target, taken, and its place in the layout.
 
     first, words, blocks, quota and offset say where the document lies in its shard's layout of `words` words and
@@ -85,7 +86,7 @@ def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float =
     sources = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), weights, share, most)
     seats = F.round(F.sum("target").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)) / block).cast("long")
     sources = apportion(sources.withColumn("_all", F.lit(0)).withColumn("seats", seats), ["_all"], "source", "target", "seats")
-    parts = F.greatest(F.ceil(F.col("source_size") / shard_words), F.ceil(F.col("n_docs") / shard_docs), F.lit(1))
+    parts = F.greatest(F.ceil(F.col("source_size") / shard_words), F.ceil(F.col("n_docs") / shard_docs), F.least(F.ceil(F.col("n_docs") / 1024), F.lit(spread)), F.lit(1))
     sources = common.written(sources.select("source", "source_size", "target", F.col("quota").alias("source_quota"), parts.alias("parts")), "mix-sources")
 
     left = sized.withColumnRenamed("source", "s")
