@@ -27,12 +27,12 @@ def stream_dedup(spark, d):
 
 @query("SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') AS start, event_type, count(*) AS n FROM events GROUP BY ALL", with_graph=False)
 def stream_tumbling(spark, d):
-    return _plain(ingest.run(ingest.windowed(_events(spark, d), "ts", "6 hours", None, ["event_type"]), ["start", "event_type"], "update", "tumbling"), "start")
+    return _plain(ingest.run(ingest.windowed(_events(spark, d), "ts", "6 hours", None, ["event_type"], None), ["start", "event_type"], "update", "tumbling"), "start")
 
 
 @query("SELECT start, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01'), time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') - INTERVAL 6 HOUR]) AS start FROM events) GROUP BY ALL", with_graph=False)
 def stream_sliding(spark, d):
-    return _plain(ingest.run(ingest.windowed(_events(spark, d), "ts", "12 hours", "6 hours", ["event_type"]), ["start", "event_type"], "update", "sliding"), "start")
+    return _plain(ingest.run(ingest.windowed(_events(spark, d), "ts", "12 hours", "6 hours", ["event_type"], None), ["start", "event_type"], "update", "sliding"), "start")
 
 
 @query("SELECT min(ts) AS start, user_id, count(*) AS n FROM (SELECT *, sum(CASE WHEN ts - prev < INTERVAL 6 HOUR THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)) GROUP BY user_id, g", with_graph=False)

@@ -31,10 +31,10 @@ def dedup(stream: DataFrame, keys: Sequence[str], ts: str, late: str = "1 hour")
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(list(keys))
 
 
-def windowed(stream: DataFrame, ts: str, size: str, slide: str | None, keys: Sequence[str], late: str = "1 hour") -> DataFrame:
-    """Counts per tumbling or sliding window and key."""
+def windowed(stream: DataFrame, ts: str, size: str, slide: str | None, keys: Sequence[str], late: str | None = "1 hour") -> DataFrame:
+    """Counts per tumbling or sliding window and key. With late=None no row is too late and every window stays in the state."""
     w = F.window(ts, size, slide) if slide else F.window(ts, size)
-    return stream.withWatermark(ts, late).groupBy(w.alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *keys, "n")
+    return (stream.withWatermark(ts, late) if late else stream).groupBy(w.alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *keys, "n")
 
 
 def sessions(stream: DataFrame, ts: str, gap: str, keys: Sequence[str], late: str = "1 hour") -> DataFrame:
