@@ -16,24 +16,36 @@ def blocked_pairs(items: DataFrame, block: Sequence[str], ident: str) -> DataFra
     return items.join(least, list(block)).where(F.col(ident) != F.col("a")).select("a", F.col(ident).alias("b")).distinct()
 
 
-def connected(edges: DataFrame, checkpoint, most_rounds: int = 40) -> DataFrame:
-    """(node, component): least reachable node, by label propagation with pointer jumping over edges (a, b).
+def connected(edges: DataFrame, checkpoint, most_rounds: int = 200) -> DataFrame:
+    """(node, component) for all nodes of edges (a, b): least reachable node, by large-star and small-star rounds.
 
-    checkpoint cuts each round's lineage in the shared folder; minima are aggregated before the shuffle.
+    Each node's neighbours are tied to its least neighbour until every component is a star, whatever the order of ids
+    along a path. Rounds end only when nothing changes; if most_rounds is not enough that is an error. checkpoint cuts
+    each round's lineage in the shared folder; minima are aggregated before the shuffle.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = checkpoint(both)
-    label = both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
+
+    def state(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    edges = checkpoint(edges.select("a", "b").distinct())
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    e = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = state(e)
     for _ in range(most_rounds):
-        near = both.join(label.withColumnsRenamed({"node": "b"}), "b").groupBy("a").agg(F.min("component").alias("m"))
-        step = label.join(near, label.node == near.a, "left").select("node", F.least("component", "m").alias("component"))
-        jump = step.withColumnsRenamed({"node": "n2", "component": "c2"})
-        new = checkpoint(step.join(jump, step.component == jump.n2, "left").select("node", F.least("component", F.coalesce("c2", "component")).alias("component")))
-        changed = new.join(label.withColumnRenamed("component", "old"), "node").where("component <> old").limit(1).count()
-        label = new
-        if not changed:
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b")))
+        e = checkpoint(small.where("a <> b").distinct())
+        after = state(e)
+        if after == before:
             break
-    return label
+        before = after
+    else:
+        raise RuntimeError(f"components are not complete after {most_rounds} rounds")
+    stars = e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+    return nodes.join(stars, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def event_pairs(events: DataFrame, *, months: int = 2) -> DataFrame:

@@ -79,3 +79,20 @@ def test_event_chains(spark):
     rows = [("e1", "A", "t", "2024-01"), ("e2", "A", "t", "2024-03"), ("e3", "A", "t", "2024-05-02"), ("e4", "A", "t", "2024-09"), ("e5", "B", "t", "2024-03"), ("e6", "A", "u", "2024-03")]
     df = spark.createDataFrame(rows, "event_id string, company string, event_type string, occurred_at string")
     assert sorted(tuple(r) for r in resolution.event_pairs(df).collect()) == [("e1", "e2"), ("e2", "e3")]
+
+
+def test_connected_joins_long_paths_of_any_order(spark):
+    ids = [f"E{i}" for i in np.random.default_rng(3).permutation(500)]
+    falling = [(1000 + i, 1000 + i - 1) for i in range(300, 0, -1)]
+    got = {r.node: r.component for r in resolution.connected(spark.createDataFrame([*zip(ids[:-1], ids[1:], strict=True), ("Z", "Z")], "a string, b string"), keep).collect()}
+    assert got == {**dict.fromkeys(ids, min(ids)), "Z": "Z"}
+    months = [1000 + i for i in range(100)] + [500 + i for i in range(100)]
+    for path in (falling, list(zip(months[:-1], months[1:], strict=True))):
+        got = {r.node: r.component for r in resolution.connected(spark.createDataFrame(path, "a long, b long"), keep).collect()}
+        assert got == dict.fromkeys({x for p in path for x in p}, min(x for p in path for x in p))
+
+
+def test_connected_raises_rather_than_return_unfinished(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(64)], "a long, b long")
+    with pytest.raises(RuntimeError, match="not complete"):
+        resolution.connected(path, keep, most_rounds=2)
