@@ -3,7 +3,8 @@
 A byte-level BPE of this family never lets a token reach over a single space between two other characters: the space
 starts the next token. So a text is cut before each such space, a piece seen before costs one look-up, and a new piece
 is split by the tokenizer's own pre-tokenisation, whose parts the tokenizers library's model encodes. The ids put
-together are those of encoding the whole text at once; tests hold them against that.
+together are those of encoding the whole text at once; tests hold them against that. A text that holds the content of
+one of the tokenizer's added tokens, such as <|endoftext|>, goes through the library's own encode.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.model, self.parts = self.tokenizer.model, regex.compile(_PARTS)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.missed = [0, 0]
@@ -58,6 +60,8 @@ class Encoder:
         """Pieces begin with their space, which is left out of the cache's keys."""
         if not text:
             return np.zeros(0, dtype="<u4")
+        if any(content in text for content in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
         first, *pieces = text.split(" ")
         found = list(map(self.pieces.get, pieces))
         if None in found:
@@ -80,7 +84,7 @@ class Encoder:
         return np.frombuffer(b"".join(map(self._word, self.parts.findall(text))), dtype="<u4")
 
     def spans(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A token's bytes are as many as its vocabulary entry has characters; they lead to its code points."""
+        """A token's bytes are as many as its vocabulary entry has characters, or an added token's content has bytes; they lead to its code points."""
         ids = self.ids(text)
         if not len(ids):
             return ids, np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -88,7 +92,7 @@ class Encoder:
             vocabulary = self.tokenizer.get_vocab()
             self.widths = np.zeros(max(vocabulary.values()) + 1, np.int64)
             for token, i in vocabulary.items():
-                self.widths[i] = len(token)
+                self.widths[i] = len(token.encode()) if token in self.added else len(token)
         ends = np.cumsum(self.widths[ids])
         raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
         point = np.cumsum((raw & 0xC0) != 0x80) - 1

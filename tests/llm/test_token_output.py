@@ -78,3 +78,22 @@ def test_edge_rows(spark, edge, none, library):
     got = token_output.token_output(edge, tokenizer_path=PATH, end_id=2).select("doc_id", "start", "n_tokens", "ids_crc32")
     assert rows_of(got) == expected(library, EDGE)
     assert token_output.token_output(none, tokenizer_path=PATH, end_id=2).count() == 0
+
+
+ADDED = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y  z <|endoftext|>\n", "é <|endoftext|><|endoftext|> 你好", "<|endoftext| >"]
+
+
+@pytest.mark.parametrize("text", ADDED)
+def test_added_tokens_equal_library(text):
+    e = encoder(load_spec(PATH))
+    want = e.tokenizer.encode(text, add_special_tokens=False)
+    assert e.ids(text).tolist() == want.ids
+    ids, begin, end = e.spans(text)
+    assert [text[a:b] for a, b, i in zip(begin.tolist(), end.tolist(), ids.tolist(), strict=True) if i == 50256] == ["<|endoftext|>"] * want.ids.count(50256)
+    assert (begin[0], end[-1]) == (0, len(text))
+
+
+def test_added_tokens_through_the_query(spark, library):
+    rows = [(i, t, "en", "web") for i, t in enumerate(ADDED)]
+    got = token_output.token_output(table(spark, rows), tokenizer_path=PATH, end_id=2).select("doc_id", "start", "n_tokens", "ids_crc32")
+    assert rows_of(got) == expected(library, rows)
