@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegraph.llm import common, decontaminate, langid, mixing, simhash, token_output
+from lodegraph.llm import common, decontaminate, langid, mixing, near_copies, token_output
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,8 +13,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each group that fingerprints within two bits link."""
-    return simhash.one_per_component(docs)
+    """Keeps the document of least id of each group linked by five-word shingles of Jaccard similarity 0.8 or more."""
+    return near_copies.one_per_group(docs, shingle=5, percent=80)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,22 +27,29 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder=
 BLOCK_PAIRS = [(a, b) for a in range(4) for b in range(a + 1, 4)]
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """The fingerprint of a whole text as a signed 64-bit number."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The hash of each shingle of a whole text, in order."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # both of bytes: ASCII only, space and 09 to 0D
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     k = min(shingle, len(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     first = np.concatenate([[0], ends[:-1] + 1])
     n = len(words) - k + 1
-    h = np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in zip(first[:n].tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64, n)
+    return np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in zip(first[:n].tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64, n)
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """The fingerprint of a whole text as a signed 64-bit number."""
+    h = shingle_hashes(text, shingle)
+    if not len(h):
+        return 0
     columns = h.astype("<u8").view(np.uint8).reshape(-1, 8)
     counts = np.concatenate([np.bincount(columns[:, i], minlength=256) @ _BITS for i in range(8)])
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
+    return int(np.packbits(2 * counts > len(h), bitorder="little").view("<i8")[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
