@@ -4,8 +4,8 @@ Canonical form: ASCII capitals become small, typographic quotes and dashes plain
 reserve all rights go; runs of ASCII other than letters and digits become one space; spellings that count as equal
 become one. The SHA-256 digest of that form is joined with the digests of known licence texts.
 
-Whole texts are joined as they are, and so are their blocks (between empty lines) and lines, where a notice stands in
-other text. A unit is only digested if its canonical length is that of a known text, as all others must differ. The
+Whole texts are joined as they are, and so are their blocks (between empty lines), runs of successive blocks and lines,
+where a notice stands in other text. Runs have as many blocks as any known text has lines, at most. A unit is only digested if its canonical length is that of a known text, as all others must differ. The
 known digests are a fixed table of less than 200 short rows, so broadcasting it is bounded; the units that match are
 few rows, and only they and the ids are shuffled.
 
@@ -25,8 +25,9 @@ from .license_texts import EQUIVALENT, KNOWN
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FANCY, _PLAIN = "“”„‘’–—‑", "\"\"\"''---"
-#: Of a line in lower case: what states a copyright or reserves all rights.
-STATEMENT = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: Of a line in lower case: what states a copyright or reserves all rights. A line that a licence's own sentence begins
+#: with "copyright notice", "copyright holders" and the like, wrapped there, states none.
+STATEMENT = r"(^|\n)[^a-z0-9\n]*(copyright(?![^a-z0-9\n]+(?:notice|holder|owner|law|statement|and|or)s?\b)|\(c\)|©|all rights reserved)[^\n]*"
 #: ASCII but letters, digits and the line feed.
 PUNCTUATION = r"[\x00-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f]+"
 
@@ -60,8 +61,21 @@ def known_table(known: list[tuple[str, str]] = KNOWN) -> list[tuple[str, str, in
     return sorted((name, hashlib.sha256(c.encode()).hexdigest(), len(c)) for c, name in found.items() if c)
 
 
+def runs(blocks: Column, most: int, lengths: list[int]) -> Column:
+    """Each 2 to `most` successive blocks as one text, of those whose length is that of a known text."""
+
+    def of(b: Column, n: Column, k: int) -> Column:
+        size = lambda i: sum((F.get(n, i + j) for j in range(1, k)), F.get(n, i)) + (k - 1)
+        starts = F.filter(F.sequence(F.lit(0), F.size(b) - k), lambda i: size(i).isin(lengths))
+        return F.when(F.size(b) >= k, F.transform(starts, lambda i: F.array_join(F.slice(b, i + 1, k), " "))).otherwise(F.array().cast("array<string>"))
+
+    # Arrays of one element bind blocks and lengths once, wherever the optimiser puts this expression.
+    each = lambda b: F.transform(F.array(F.transform(b, F.length)), lambda n: F.concat(*[of(b, n, k) for k in range(2, most + 1)]))
+    return F.flatten(F.flatten(F.transform(F.array(F.filter(blocks, lambda u: u != "")), each)))
+
+
 def scan(docs: DataFrame, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """Per row of docs: doc_id, digest, license (of the whole text), notices (of blocks and lines, sorted), n_notices."""
+    """Per row of docs: doc_id, digest, license (of the whole text), notices (of blocks, their runs and lines, sorted), n_notices."""
     spark = docs.sparkSession
     table = known_table(known)
     digests = F.broadcast(spark.createDataFrame(table, "name string, known string, n int").select("name", "known"))
@@ -71,7 +85,9 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
     blocks = F.transform(F.split("c", r"\n[ ]*\n"), whole)
     lines = F.transform(F.split("c", "\n"), lambda u: F.trim(u))
     text = whole(F.col("c"))
-    units = F.filter(F.array_except(F.array_union(blocks, lines), F.array(text)), fits)
+    most = max((sum(bool(canonical(x)) for x in known_text.split("\n")) for _, known_text in known), default=1)
+    single = F.filter(F.array_union(blocks, lines), fits)
+    units = F.array_except(F.array_union(single, runs(blocks, most, lengths)) if most > 1 else single, F.array(text))
     rows = base.select("doc_id", "h", F.sha2(text, 256).alias("digest"), F.transform(units, lambda u: F.sha2(u, 256)).alias("units"))
     found = rows.join(digests.select(F.col("name").alias("license"), F.col("known").alias("digest")), "digest", "left")
     notices = rows.where(F.size("units") > 0).select(F.col("doc_id").alias("d"), F.col("h").alias("g"), F.explode("units").alias("known")).join(digests, "known")

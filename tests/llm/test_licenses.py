@@ -47,3 +47,18 @@ def test_edge_rows_and_sql(spark, edge, none, sf):
     duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     want = sorted(duckdb.sql(licenses.scan_sql()).fetchall())
     assert sorted(tuple(r) for r in licenses.scan(spark.read.parquet(f"{sf}/documents.parquet")).collect()) == want
+
+
+def test_published_wrapping_and_known_texts_within_others(spark):
+    texts = [(n, t) for n, t in KNOWN if "\n\n" in t]
+    isc = dict(texts[::-1])["ISC"].replace("the above copyright notice", "the above\ncopyright notice")
+    assert "\ncopyright notice" in isc
+    bsd = dict(texts[::-1])["BSD-2-Clause"]
+    rows = [(0, "Copyright (c) 2020 Some Body\n\n" + isc, "en", "web"), (1, "Some prose.\n\nCopyright 2020 Some Body\n\n" + isc + "\n\nMore prose.", "en", "web")]
+    rows.append((2, bsd.replace("COPYRIGHT HOLDERS", "\nCOPYRIGHT HOLDERS").replace("COPYRIGHT HOLDER OR", "\nCOPYRIGHT HOLDER OR").replace("COPYRIGHT OWNER", "\nCOPYRIGHT OWNER"), "en", "web"))
+    rows += [(10 + i, f"First block.\n\n{t}\n\n\nLast block.", "en", "web") for i, (_, t) in enumerate(texts)]
+    got = {r.doc_id: r for r in licenses.scan(table(spark, rows)).collect()}
+    assert (got[0].license, got[2].license) == ("ISC", "BSD-2-Clause")
+    assert (got[1].license, got[1].notices) == (None, "ISC")
+    for i, (name, _) in enumerate(texts):
+        assert name in got[10 + i].notices.split(","), name
