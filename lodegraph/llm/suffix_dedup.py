@@ -9,22 +9,29 @@ can hold a repeat are collected, and the rounds are at most 2 * length:
    anchor. Equal windows have equal anchors at equal places. Successive windows with one anchor make a run of at most
    length - 31 windows. A run is a row (anchor, digest of its bytes, doc_id, place): about one per 35 bytes.
 2. Runs whose anchor occurs once in the corpus hold no repeat and go. Of runs with equal digests the first stays and
-   the others are removed whole. Both are counts and minima, formed before the shuffle where a task has several.
+   the others are removed whole, as equal strings enter the collection once. Both are counts and minima. A task sends
+   one row per different run of 16 MB of text, and of an anchor with one run there one row, so what one key gathers is
+   one row per 16 MB of corpus at most.
 3. First runs that share an anchor with others differ somewhere. Their bytes (at most 2 * length - 32) are collected
-   by anchor, and their suffixes sorted by columns: equal windows become neighbours with a common prefix of `length`. Anchors with
-   very many such runs would fill a task; their windows are grouped by 128-bit digest instead, a row per window.
+   by anchor, and their suffixes sorted by columns: equal windows become neighbours with a common prefix of `length`.
+   The collection of an anchor with more than `most_runs` runs is split so that it fits tasks: the places that the
+   anchor can have in a window are halved, and the runs of one half go on under a longer anchor, the bytes that all its
+   windows have in common. Halving ends with single places, where the longer anchor is the window; a run makes two
+   rows or three in a halving. Equal windows always stay together, so the same columns are sorted in smaller groups.
 4. The spans of a document are merged, and its text is cut.
 
-Digests are 64 bits beside a 64-bit anchor of other origin, or 128 bits. Starts are compared as (doc_id, start), null
-first. Edge cases: null text counts as empty; rows that repeat a doc_id are the same document, in which equal starts
-are not earlier than each other, so that repeated rows get equal results; texts below `length` bytes stay whole; an
-empty table gives no rows; further columns are not read.
+The tables written between these steps are the external files, read in order of anchor. Digests of step 2 are 64 bits
+beside a 64-bit anchor of other origin; all later comparisons are of bytes. Starts are compared as (doc_id, start),
+null first. `length` is 33 to 1054. Edge cases: null text counts as empty; rows that repeat a doc_id are the same
+document, in which equal starts are not earlier than each other, so that repeated rows get equal results; texts below
+`length` bytes stay whole; an empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +44,7 @@ from . import common
 GRAM = 32
 #: Bytes of text hashed at once, and bytes whose runs are reduced together before they are sent.
 BLOCK, REDUCE = (1 << 20) - 1, 16 << 20
-#: Distinct runs of an anchor up to which they are sorted together; beyond, windows are grouped by digest.
+#: Distinct runs of an anchor up to which they are sorted in one task; beyond, they are split by longer anchors.
 MOST_RUNS = 1000
 #: Bytes of collected runs sorted at once in a task.
 SORT_BYTES = 8 << 20
@@ -99,13 +106,14 @@ class Anchors:
         return first, count, g[at[first]], at[first] - first
 
 
-#: kind holds the anchor's offset in the run times 4, and 0: a run whose anchor must be counted; 1: one whose anchor is known to recur; 2: only a count; 3: a span to remove.
+#: kind holds the anchor's offset in the run times 4, and 0: a run whose anchor must be counted; 1: one whose anchor is known to recur; 2: a mark of such an anchor, which counts twice; 3: a span to remove.
+TAG_BITS, COUNT_BITS = 21, 10
 RUNS = "kind int, route long, anchor long, digest long, doc_id long, place long"
 
 
 def place_of(tag, count, start):
-    """24 bits of the text's hash, 7 bits of the run's windows, 32 bits of the start."""
-    return (tag << 39) | (count << 32) | start
+    """TAG_BITS of the text's hash, COUNT_BITS of the run's windows, 32 bits of the start."""
+    return (tag << (32 + COUNT_BITS)) | (count << 32) | start
 
 
 def find_runs(docs: DataFrame, length: int) -> DataFrame:
@@ -133,7 +141,7 @@ def find_runs(docs: DataFrame, length: int) -> DataFrame:
             block.clear()
             size = 0
 
-        def reduce() -> Iterator[pa.RecordBatch]:
+        def settle() -> Iterator[pa.RecordBatch]:
             """Of equal runs only the first is sent on; the others' bytes go for sure."""
             nonlocal held
             if not rows:
@@ -160,11 +168,10 @@ def find_runs(docs: DataFrame, length: int) -> DataFrame:
             doc, tag, start, count, anchor, digest, offset = (x[rest] for x in (doc, tag, start, count, anchor, digest, offset))
             # an anchor of many different runs recurs for sure: its rows need not meet in one task to be counted
             _, inverse, number = np.unique(anchor, return_inverse=True, return_counts=True)
-            sure = number[inverse] > 8
+            sure = number[inverse] > 1
             yield batch_of(np.where(sure, 1, 0) + 4 * offset, np.where(sure, digest, anchor), anchor, digest, doc, place_of(tag, count, start))
             marks = np.unique(anchor[sure])
-            for _ in range(2):
-                yield batch_of(2, marks, marks, marks * 0, marks * 0, marks * 0)
+            yield batch_of(2, marks, marks, marks * 0, marks * 0, marks * 0)
 
         def batch_of(kind, route, anchor, digest, doc, place) -> pa.RecordBatch:
             kinds = np.broadcast_to(np.asarray(kind, np.int32), doc.shape)
@@ -183,10 +190,10 @@ def find_runs(docs: DataFrame, length: int) -> DataFrame:
                     held += len(part)
                 if held >= REDUCE:
                     hash_block()
-                    yield from reduce()
+                    yield from settle()
         if block:
             hash_block()
-        yield from reduce()
+        yield from settle()
 
     return docs.mapInArrow(run, RUNS)
 
@@ -228,9 +235,9 @@ def equal_windows(pieces: list[bytes], counts: np.ndarray, anchors: np.ndarray,
         order = np.concatenate([fresh, order])
         prefix = np.concatenate([np.zeros(len(fresh), np.int16), prefix])
         here = np.flatnonzero(leaves[order] <= column)
-        symbol = data[zero[order[here]] + column]
-        by = here[np.argsort(symbol, kind="stable")]
-        symbol = data[zero[order[by]] + column]
+        transform = data[zero[order[here]] + column]
+        to = np.argsort(transform, kind="stable")
+        by, symbol = here[to], transform[to]
         common_ = np.zeros(len(by), np.int16)
         alike = np.flatnonzero(symbol[1:] == symbol[:-1])
         common_[alike + 1] = least_between(prefix, by[alike], by[alike + 1]) + 1
@@ -296,30 +303,50 @@ def sort_runs(runs: DataFrame, length: int) -> DataFrame:
 
 def suffix_dedup(docs: DataFrame, *, length: int = 100, most_runs: int = MOST_RUNS) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (the remaining bytes)."""
-    tagged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.xxhash64("text").bitwiseAND(F.lit((1 << 24) - 1)), F.lit(0)).alias("tag"), "text")
+    if not GRAM < length < GRAM + (1 << COUNT_BITS) - 1:
+        raise ValueError(f"length must be {GRAM + 1} to {GRAM + (1 << COUNT_BITS) - 2}")
+    tagged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.xxhash64("text").bitwiseAND(F.lit((1 << TAG_BITS) - 1)), F.lit(0)).alias("tag"), "text")
     spark = docs.sparkSession
-    found = find_runs(tagged, length).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "route")
-    counted = found.withColumn("n", F.count("*").over(W.partitionBy("route")))
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = find_runs(tagged, length).repartition(shuffled, "route")
+    counted = found.withColumn("n", F.sum(F.when(F.col("kind") == 2, 2).otherwise(1)).over(W.partitionBy("route")))
     runs = common.written(counted.where("kind % 4 in (1, 3) or (kind % 4 = 0 and n > 1)").drop("n", "route"), "suffix-runs")
     start = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
-    tag = F.shiftright("place", 39)
-    n = F.shiftright("place", 32).bitwiseAND(F.lit(127))
+    tag = F.shiftright("place", 32 + COUNT_BITS)
+    n = F.shiftright("place", 32).bitwiseAND(F.lit((1 << COUNT_BITS) - 1))
     local = runs.where("kind = 3").select("doc_id", tag.alias("tag"), start.alias("a"), (start + F.col("digest")).alias("z"))
     cand = runs.where("kind % 4 < 2").select("anchor", "digest", F.floor(F.col("kind") / 4).alias("at"), "doc_id", tag.alias("tag"), start.alias("start"), n.alias("n"))
     firsts = cand.groupBy("anchor", "digest").agg(F.min(F.struct("doc_id", "start")).alias("first"))
     sizes = firsts.groupBy("anchor").agg(F.count("*").alias("contexts"))
-    placed = cand.join(firsts, ["anchor", "digest"])
-    here = F.struct("doc_id", "start")
-    copies = placed.where(here > F.col("first")).select("doc_id", "tag", F.col("start").alias("a"), (F.col("start") + F.col("n") + F.lit(length - 1)).alias("z"))
-    heads = placed.where(here <= F.col("first")).join(sizes.where("contexts > 1"), "anchor")
+    copies, heads = _copies_and_heads(cand, firsts, sizes, ["anchor", "digest"], length)
     wanted = heads.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("anchor", "start", "n", "contexts", "at")).alias("runs"))
     pieces = common.written(_cut_runs(tagged, wanted, length), "suffix-pieces")
-    few = pieces.where(F.col("contexts") <= most_runs).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "anchor")
-    sorted_ = sort_runs(few.select("anchor", "doc_id", "tag", "start", "n", "bytes", "at"), length)
-    grouped = _group_windows(pieces.where(F.col("contexts") > most_runs), length)
-    spans = common.written(local.unionByName(copies).unionByName(sorted_).unionByName(grouped).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("a", "z")).alias("spans")), "suffix-spans")
-    common.drop(runs, pieces)
-    return _cut_texts(tagged, spans)
+    spans, tables, level = [local, copies], [runs, pieces], 0
+    while True:
+        few = pieces.where(F.col("contexts") <= most_runs).repartition(shuffled, "anchor")
+        spans.append(sort_runs(few.select("anchor", "doc_id", "tag", "start", "n", "bytes", "at"), length))
+        many = pieces.where(F.col("contexts") > most_runs)
+        if not many.limit(1).count():
+            break
+        level += 1
+        parts = common.written(_halves(many, length, level), "suffix-parts")
+        firsts = parts.groupBy("anchor", "bytes").agg(F.min(F.struct("doc_id", "start")).alias("first"))
+        sizes = firsts.groupBy("anchor").agg(F.count("*").alias("contexts"))
+        copies, heads = _copies_and_heads(parts, firsts, sizes, ["anchor", "bytes"], length)
+        pieces = common.written(heads.select("anchor", "contexts", "doc_id", "tag", "start", "n", "bytes", "at"), "suffix-pieces")
+        spans.append(copies)
+        tables += [parts, pieces]
+    every = reduce(DataFrame.unionByName, spans)
+    merged = common.written(every.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("a", "z")).alias("spans")), "suffix-spans")
+    common.drop(*tables)
+    return _cut_texts(tagged, merged)
+
+
+def _copies_and_heads(runs: DataFrame, firsts: DataFrame, sizes: DataFrame, same: list[str], length: int) -> tuple[DataFrame, DataFrame]:
+    """SPANS of the runs that an equal run precedes, and the first runs whose anchor has others, with their number."""
+    placed, here = runs.join(firsts, same), F.struct("doc_id", "start")
+    copies = placed.where(here > F.col("first")).select("doc_id", "tag", F.col("start").alias("a"), (F.col("start") + F.col("n") + F.lit(length - 1)).alias("z"))
+    return copies, placed.where(here <= F.col("first")).join(sizes.where("contexts > 1"), "anchor")
 
 
 def _join(tagged: DataFrame, other: DataFrame, how: str) -> DataFrame:
@@ -343,20 +370,33 @@ def _cut_runs(tagged: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return joined.select("doc_id", "tag", "text", "runs").mapInArrow(run, "anchor long, contexts long, doc_id long, tag long, start long, n long, bytes binary, at long")
 
 
-def _group_windows(pieces: DataFrame, length: int) -> DataFrame:
-    """SPANS for the anchors with very many runs: windows grouped by digest, minima formed before the shuffle."""
+def _halves(pieces: DataFrame, length: int, level: int) -> DataFrame:
+    """The runs of pieces cut by the anchor's place in their windows, each part under the longer anchor of its places.
+
+    The places 0..length - 32 fall into 2**level cells. All windows of a cell have the bytes between the start of the
+    window with the least place and the end of the one with the greatest in common; their digest with the cell and the
+    anchor names the group.
+    """
+    width = -(-(length - GRAM + 1) >> level)
+    last = length - GRAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_digest
+        from xxhash import xxh3_64_intdigest
 
         for batch in batches:
-            for doc_id, tag, start, n, raw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                h = np.frombuffer(b"".join(xxh3_128_digest(raw[i : i + length]) for i in range(n)), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([doc_id] * n, pa.int64()), pa.array([tag] * n, pa.int64()), pa.array(np.arange(start, start + n))], names=["x", "y", "doc_id", "tag", "a"])
-
-    windows = pieces.select("doc_id", "tag", "start", "n", "bytes").mapInArrow(run, "x long, y long, doc_id long, tag long, a long")
-    least = windows.groupBy("x", "y").agg(F.min(F.struct("doc_id", "a")).alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
-    return windows.join(least, ["x", "y"]).where(F.struct("doc_id", "a") > F.col("first")).select("doc_id", "tag", "a", (F.col("a") + length).alias("z"))
+            out: list[tuple] = []
+            for anchor, doc_id, tag, start, n, raw, at in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                least = at - n + 1
+                for cell in range(least // width, at // width + 1):
+                    low, high = max(cell * width, least), min(cell * width + width - 1, at)
+                    held = raw[at - cell * width : at - min(cell * width + width - 1, last) + length]
+                    name = xxh3_64_intdigest(held, (anchor ^ (cell << 8) ^ level) & ((1 << 64) - 1))
+                    out.append((name - (1 << 64) if name >> 63 else name, doc_id, tag, start + at - high, high - low + 1, raw[at - high : at - low + length], high))
+            columns = list(zip(*out, strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 5 else pa.int64()) for i, c in enumerate(columns)], names=["anchor", "doc_id", "tag", "start", "n", "bytes", "at"])
+
+    rows = pieces.select("anchor", "doc_id", "tag", "start", "n", "bytes", "at")
+    return rows.mapInArrow(run, "anchor long, doc_id long, tag long, start long, n long, bytes binary, at long")
 
 
 def _cut_texts(tagged: DataFrame, spans: DataFrame) -> DataFrame:

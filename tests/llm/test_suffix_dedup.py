@@ -81,3 +81,22 @@ def test_edge_rows(spark, edge, none):
     long = {r.doc_id: r for r in suffix_dedup.suffix_dedup(edge).collect()}[5]
     assert (long.n_bytes, long.n_bytes - long.n_removed, long.n_spans) == (27 * 40_000, 27, 1)
     assert suffix_dedup.suffix_dedup(none).count() == 0
+
+
+def test_one_passage_in_many_contexts(spark):
+    """More contexts of one passage than one task sorts, with shared lead-ins: the collection is split, not dropped."""
+    r = np.random.default_rng(5)
+    letters = lambda n: bytes(r.integers(97, 123, n).tolist()).decode()
+    passage, leads = letters(130), [letters(60) for _ in range(3)]
+    rows = [(i, letters(r.integers(5, 90)) + leads[i % 3][r.integers(0, 55) :] + passage + letters(r.integers(5, 90)), "en", "web") for i in range(1300)]
+    got = suffix_dedup.suffix_dedup(table(spark, rows), length=100).drop("kept")
+    assert rows_of(got) == brute(rows, 100)
+
+
+def test_lengths(spark):
+    rows = corpus(9, docs=20)
+    got = suffix_dedup.suffix_dedup(table(spark, rows), length=170, most_runs=2).drop("kept")
+    assert rows_of(got) == brute(rows, 170)
+    for length in (32, 1055):
+        with pytest.raises(ValueError, match="length"):
+            suffix_dedup.suffix_dedup(table(spark, rows), length=length)
