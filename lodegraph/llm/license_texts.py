@@ -1,4 +1,24 @@
-"""Licence texts and notices as published, and spellings that count as equal."""
+"""Licence texts and notices as published, and spellings that count as equal.
+
+The long texts are files of the folder texts, as published; they are read from the package, so an archive will do.
+"""
+
+from __future__ import annotations
+
+from importlib import resources
+
+
+def _file(name: str) -> str:
+    return resources.files(__package__).joinpath("texts", f"{name}.txt").read_text(encoding="utf-8")
+
+
+def _terms(name: str, end: str) -> list[str]:
+    """A long text whole, and its terms alone, up to and with the line that ends them."""
+    text = _file(name)
+    at = text.index(end)
+    return [text, text[: at + len(end)]]
+
+
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -59,6 +79,13 @@ KNOWN = [
     ("Zlib", _ZLIB),
     ("Apache-2.0", _APACHE_NOTICE),
     ("GPL-3.0-or-later", _GPL3_NOTICE),
+    *[("Apache-2.0", text) for text in _terms("Apache-2.0", "END OF TERMS AND CONDITIONS")],
+    *[("GPL-2.0", text) for text in _terms("GPL-2", "END OF TERMS AND CONDITIONS")],
+    *[("GPL-3.0", text) for text in _terms("GPL-3", "END OF TERMS AND CONDITIONS")],
+    *[("LGPL-2.1", text) for text in _terms("LGPL-2.1", "END OF TERMS AND CONDITIONS")],
+    ("LGPL-3.0", _file("LGPL-3")),
+    ("MPL-2.0", _file("MPL-2.0")),
+    ("CC0-1.0", _file("CC0-1.0")),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "This project is licensed under the MIT License."),

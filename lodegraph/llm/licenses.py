@@ -4,10 +4,13 @@ Canonical form: ASCII capitals become small, typographic quotes and dashes plain
 reserve all rights go; runs of ASCII other than letters and digits become one space; spellings that count as equal
 become one. The SHA-256 digest of that form is joined with the digests of known licence texts.
 
-Whole texts are joined as they are, and so are their blocks (between empty lines), runs of successive blocks and lines,
-where a notice stands in other text. Runs have as many blocks as any known text has lines, at most. A unit is only digested if its canonical length is that of a known text, as all others must differ. The
-known digests are a fixed table of less than 200 short rows, so broadcasting it is bounded; the units that match are
-few rows, and only they and the ids are shuffled.
+Whole texts are joined as they are, and so are their units, where a notice or a licence stands in other text: every
+stretch from the beginning of a line to the end of a line, hence lines, blocks and runs of either, that is as long as a
+known text. The first characters of the known texts tell which texts can hold one at all, and lengths and line ends, as
+keys of a join, which stretches can be one; only those are cut out and digested, once per distinct text. Every text is
+put into canonical form once, and what follows reads the written result.
+
+The table of known texts is broadcast up to MOST_BROADCAST rows, and joined by shuffling beyond.
 
 Edge cases: a null text has a null digest and no licence; an empty canonical form is no licence; repeated rows each get
 their row, with equal results; an empty table gives no rows; further columns are not read.
@@ -20,7 +23,9 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
+from . import common
 from .license_texts import EQUIVALENT, KNOWN
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -30,20 +35,25 @@ _FANCY, _PLAIN = "“”„‘’–—‑", "\"\"\"''---"
 STATEMENT = r"(^|\n)[^a-z0-9\n]*(copyright(?![^a-z0-9\n]+(?:notice|holder|owner|law|statement|and|or)s?\b)|\(c\)|©|all rights reserved)[^\n]*"
 #: ASCII but letters, digits and the line feed.
 PUNCTUATION = r"[\x00-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f]+"
+#: The same runs but for single spaces, which stay as they are; so most of a text needs no replacement.
+_RUNS = r"[\x00-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f]{2,}|[\x00-\x09\x0b-\x1f\x21-\x2f\x3a-\x60\x7b-\x7f]"
+#: Known texts up to which their table is broadcast, and up to which their beginnings, of so many characters, filter texts.
+MOST_BROADCAST, MOST_HEADS, HEAD = 10_000, 200, 40
 
 
 def canonical_lines(text: Column) -> Column:
     """The canonical form with its line feeds."""
-    c = F.translate(text, _UPPER + _FANCY, _LOWER + _PLAIN)
+    # Of ASCII alone, lower() does the same and is far cheaper.
+    c = F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER + _FANCY, _LOWER + _PLAIN))
     c = F.regexp_replace(c, STATEMENT, "$1")
-    c = F.regexp_replace(c, PUNCTUATION, " ")
+    c = F.regexp_replace(c, _RUNS, " ")
     for spelling, same in EQUIVALENT:
         c = F.replace(c, F.lit(spelling), F.lit(same))
     return c
 
 
 def whole(lines: Column) -> Column:
-    return F.trim(F.regexp_replace(lines, r"[ \n]+", " "))
+    return F.trim(F.regexp_replace(lines, r"[ \n]{2,}|\n", " "))
 
 
 def canonical(text: str) -> str:
@@ -61,38 +71,43 @@ def known_table(known: list[tuple[str, str]] = KNOWN) -> list[tuple[str, str, in
     return sorted((name, hashlib.sha256(c.encode()).hexdigest(), len(c)) for c, name in found.items() if c)
 
 
-def runs(blocks: Column, most: int, lengths: list[int]) -> Column:
-    """Each 2 to `most` successive blocks as one text, of those whose length is that of a known text."""
+def held_lengths(text: Column, known: list[tuple[str, str]]) -> Column:
+    """The lengths of the known texts whose beginning the canonical text holds."""
+    by_head: dict[str, set[int]] = {}
+    for c in {canonical(t) for _, t in known} - {""}:
+        by_head.setdefault(c[:HEAD], set()).add(len(c))
+    if not by_head or len(by_head) > MOST_HEADS:
+        lengths = sorted(set().union(*by_head.values())) if by_head else []
+        return F.array(*map(F.lit, lengths)).cast("array<int>")
+    none = F.array().cast("array<int>")
+    return F.array_distinct(F.concat(*[F.when(text.contains(head), F.array(*map(F.lit, sorted(n)))).otherwise(none) for head, n in sorted(by_head.items())]))
 
-    def of(b: Column, n: Column, k: int) -> Column:
-        size = lambda i: sum((F.get(n, i + j) for j in range(1, k)), F.get(n, i)) + (k - 1)
-        starts = F.filter(F.sequence(F.lit(0), F.size(b) - k), lambda i: size(i).isin(lengths))
-        return F.when(F.size(b) >= k, F.transform(starts, lambda i: F.array_join(F.slice(b, i + 1, k), " "))).otherwise(F.array().cast("array<string>"))
 
-    # Arrays of one element bind blocks and lengths once, wherever the optimiser puts this expression.
-    each = lambda b: F.transform(F.array(F.transform(b, F.length)), lambda n: F.concat(*[of(b, n, k) for k in range(2, most + 1)]))
-    return F.flatten(F.flatten(F.transform(F.array(F.filter(blocks, lambda u: u != "")), each)))
+def units(hits: DataFrame) -> DataFrame:
+    """(digest, h, known): the digests of the stretches of lines, in hits (digest, h, c, n, lengths), that are as long as a known text."""
+    own = ["digest", "h"]
+    lines = hits.select(*own, "n", "lengths", F.posexplode(F.split("c", "\n")).alias("pos", "line")).withColumn("line", F.trim("line")).where("line <> ''")
+    end = F.sum(F.length("line") + 1).over(W.partitionBy(*own).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)) - 1
+    lines = lines.select(*own, "n", "lengths", end.alias("end"), F.length("line").alias("size"))
+    starts = lines.select(*own, "n", "end", "size", F.explode("lengths").alias("length")).where("length < n")
+    starts = starts.select(*own, (F.col("end") - F.col("size") + F.col("length")).alias("end"), "length")
+    places = starts.join(lines.select(*own, "end"), [*own, "end"]).groupBy(*own).agg(F.collect_set(F.struct((F.col("end") - F.col("length")).cast("int").alias("at"), "length")).alias("places"))
+    texts = hits.select(*own, whole(F.col("c")).alias("t")).join(places, own)
+    return texts.select(*own, F.explode(F.array_distinct(F.transform("places", lambda p: F.sha2(F.substring(F.col("t"), p["at"] + 1, p["length"]), 256)))).alias("known"))
 
 
 def scan(docs: DataFrame, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """Per row of docs: doc_id, digest, license (of the whole text), notices (of blocks, their runs and lines, sorted), n_notices."""
-    spark = docs.sparkSession
+    """Per row of docs: doc_id, digest, license (of the whole text), notices (of stretches of lines, sorted), n_notices."""
     table = known_table(known)
-    digests = F.broadcast(spark.createDataFrame(table, "name string, known string, n int").select("name", "known"))
-    lengths = sorted({n for _, _, n in table})
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), canonical_lines(F.col("text")).alias("c"))
-    fits = lambda u: F.length(u).isin(lengths)
-    blocks = F.transform(F.split("c", r"\n[ ]*\n"), whole)
-    lines = F.transform(F.split("c", "\n"), lambda u: F.trim(u))
-    text = whole(F.col("c"))
-    most = max((sum(bool(canonical(x)) for x in known_text.split("\n")) for _, known_text in known), default=1)
-    single = F.filter(F.array_union(blocks, lines), fits)
-    units = F.array_except(F.array_union(single, runs(blocks, most, lengths)) if most > 1 else single, F.array(text))
-    rows = base.select("doc_id", "h", F.sha2(text, 256).alias("digest"), F.transform(units, lambda u: F.sha2(u, 256)).alias("units"))
-    found = rows.join(digests.select(F.col("name").alias("license"), F.col("known").alias("digest")), "digest", "left")
-    notices = rows.where(F.size("units") > 0).select(F.col("doc_id").alias("d"), F.col("h").alias("g"), F.explode("units").alias("known")).join(digests, "known")
-    notices = notices.groupBy("d", "g").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("notices"), F.count_distinct("known").alias("n_notices"))
-    out = found.join(notices, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
+    names = docs.sparkSession.createDataFrame(table, "name string, known string, n int").select("name", "known")
+    names = F.broadcast(names) if len(table) <= MOST_BROADCAST else names
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), canonical_lines(F.col("text")).alias("c")).withColumn("t", whole(F.col("c")))
+    text = text.withColumn("lengths", held_lengths(F.col("t"), known))
+    rows = text.select("doc_id", F.sha2("t", 256).alias("digest"), F.xxhash64("c").alias("h"), F.length("t").alias("n"), "lengths", F.when(F.size("lengths") > 0, F.col("c")).alias("c"))
+    rows = common.written(rows, "license-texts")
+    hits = rows.where(F.size("lengths") > 0).select("digest", "h", "n", "lengths", "c").dropDuplicates(["digest", "h"])
+    notices = units(hits).join(names, "known").groupBy("digest", "h").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("notices"), F.count_distinct("known").alias("n_notices"))
+    out = rows.select("doc_id", "digest", "h").join(notices, ["digest", "h"], "left").join(names.withColumnsRenamed({"known": "digest", "name": "license"}), "digest", "left")
     return out.select("doc_id", "digest", "license", F.coalesce("notices", F.lit("")).alias("notices"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"))
 
 
