@@ -1,18 +1,24 @@
 """Operator 2: quality rules whose cutoffs carry a guarantee.
 
-Each rule rejects a document when a statistic of its whole text exceeds a cutoff. In each stratum the cutoffs of a
-rule are tested on labelled holdouts: of n good documents r were rejected, and the exact (Clopper-Pearson) upper bound
-of the false rejection rate, at level `delta` divided by the number of all tests made (Bonferroni over strata, rules
-and cutoffs), must not exceed `alpha` divided by the number of rules. So with probability 1 - delta every cutoff that
-passes keeps its promise, whichever is chosen, and all rules together reject at most alpha of a stratum's good
-documents. Of the cutoffs that pass, the one is chosen that rejects the largest share of bad less that of good labelled
-documents, the laxest of equals; a rule with none that gains is off in that stratum.
-
-Only counts by stratum are aggregated; each stratum's row is one row, however many documents it has.
+Each rule rejects a document when a statistic of its whole text exceeds a cutoff. Per stratum a path of cutoffs is laid
+from lax to strict and tested as a whole on labelled holdouts, so that all rules together reject at most `alpha` of the
+stratum's good documents, with probability 1 - delta over all strata:
+
+1. The path comes from documents that are not labelled good: of all (rule, cutoff), those that reject a greater share
+   of the bad than of the rest, by the ratio of the two shares. Each step adds one to those before it.
+2. The holdouts are the distinct texts labelled good, one trial each, since copies are no independent trials. A step
+   passes if the exact (Clopper-Pearson) upper bound of the false rejection rate of all rules up to it is at most
+   alpha. Steps are tested in order up to the first that fails (fixed sequence: no correction between steps), and the
+   last that passed gives the cutoffs.
+3. Strata are corrected for by Bonferroni: each is tested at delta divided by the number of strata that have enough
+   holdouts for any test to pass, which their numbers tell and not their outcomes.
+
+calibrate() instead tests every (rule, cutoff) of its own, corrected over all tests; it is far stricter and is used
+with joint=False. Only counts by stratum are aggregated; each stratum's row is one row, however many documents it has.
 
 Edge cases: null text has no words and fails the base rule; a null stratum is a stratum; strata without enough labels
-have no cutoffs and keep all that pass the base rule; of several labels of a doc_id the least counts; repeated rows
-get equal results; an empty table gives no rows; further columns are not read.
+have no cutoffs and keep all that pass the base rule; of several labels of a doc_id or text the least counts; repeated
+rows get equal results; an empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -75,17 +81,17 @@ def text_measures(text: str | None, window: int = 8) -> tuple[int, ...]:
 
 
 def measure(docs: DataFrame, stratum: str | None = None, window: int = 8) -> DataFrame:
-    """(doc_id, stratum, *MEASURES) per row of docs; stratum is the text of that column, or empty."""
+    """(doc_id, stratum, *MEASURES, text_hash) per row of docs; stratum is the text of that column, or empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [text_measures(t.as_py(), window) for t in batch.column(2)]
             columns = np.array(rows, np.int64).reshape(-1, len(MEASURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(columns[:, i]) for i in range(len(MEASURES))]], names=["doc_id", "stratum", *MEASURES])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(columns[:, i]) for i in range(len(MEASURES))], batch.column(3)], names=["doc_id", "stratum", *MEASURES, "text_hash"])
 
     by = F.col(stratum).cast("string") if stratum else F.lit("")
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), by.alias("stratum"), "text")
-    return source.mapInArrow(run, "doc_id long, stratum string, " + ", ".join(f"{m} long" for m in MEASURES))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), by.alias("stratum"), "text", F.xxhash64("text").alias("text_hash"))
+    return source.mapInArrow(run, "doc_id long, stratum string, " + ", ".join(f"{m} long" for m in MEASURES) + ", text_hash long")
 
 
 def upper_bound(r: int, n: int, level: float) -> float:
@@ -122,31 +128,94 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
     return front * f
 
 
-def calibrate(measured: DataFrame, labels: DataFrame, *, alpha: float = 0.05, delta: float = 0.05, label: str = "quality") -> DataFrame:
-    """(stratum, rule, cutoff, rejected_good, n_good, bound, rejected_bad, n_bad): the chosen cutoffs."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("good")).where("doc_id is not null and good in (0, 1)").groupBy("doc_id").agg(F.min("good").alias("good"))
-    rows = measured.where("not base_failed").join(known, "doc_id")
-    tests = [(rule, value, cutoff) for rule, (value, cutoffs) in RULES.items() for cutoff in cutoffs]
-    over = [F.struct(*[F.count_if(F.expr(f"good = {g} and {value} > {cutoff}")).alias(f"r{g}") for g in (0, 1)], F.lit(rule).alias("rule"), F.lit(float(cutoff)).alias("cutoff")) for rule, value, cutoff in tests]
-    counts = rows.groupBy("stratum").agg(F.count_if(F.expr("good = 1")).alias("n_good"), F.count_if(F.expr("good = 0")).alias("n_bad"), F.array(*over).alias("tests"))
-    flat = counts.withColumn("strata", F.count("*").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).select("stratum", "n_good", "n_bad", "strata", F.explode("tests").alias("t"))
+#: All (rule, statistic, cutoff).
+TESTS = [(rule, value, cutoff) for rule, (value, cutoffs) in RULES.items() for cutoff in cutoffs]
+
+
+def _labels(labels: DataFrame, label: str) -> DataFrame:
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("good"))
+    return known.where("doc_id is not null and good in (0, 1)").groupBy("doc_id").agg(F.min("good").alias("good"))
+
 
+def _bounds():
     @F.pandas_udf("double")
     def bound(r, n, level):
         return r.combine(n, lambda a, b: (a, b)).combine(level, lambda ab, c: upper_bound(int(ab[0]), int(ab[1]), float(c)))
 
-    flat = flat.select("stratum", "t.rule", "t.cutoff", F.col("t.r1").alias("rejected_good"), "n_good", F.col("t.r0").alias("rejected_bad"), "n_bad", bound("t.r1", "n_good", F.lit(delta / len(tests)) / F.col("strata")).alias("bound"))
+    return bound
+
+
+def calibrate(measured: DataFrame, labels: DataFrame, *, alpha: float = 0.05, delta: float = 0.05, label: str = "quality") -> DataFrame:
+    """(stratum, rule, cutoff, rejected_good, n_good, bound, rejected_bad, n_bad): the chosen cutoffs."""
+    rows = measured.where("not base_failed").join(_labels(labels, label), "doc_id")
+    tests = TESTS
+    over = [F.struct(*[F.count_if(F.expr(f"good = {g} and {value} > {cutoff}")).alias(f"r{g}") for g in (0, 1)], F.lit(rule).alias("rule"), F.lit(float(cutoff)).alias("cutoff")) for rule, value, cutoff in tests]
+    counts = rows.groupBy("stratum").agg(F.count_if(F.expr("good = 1")).alias("n_good"), F.count_if(F.expr("good = 0")).alias("n_bad"), F.array(*over).alias("tests"))
+    flat = counts.withColumn("strata", F.count("*").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).select("stratum", "n_good", "n_bad", "strata", F.explode("tests").alias("t"))
+    flat = flat.select("stratum", "t.rule", "t.cutoff", F.col("t.r1").alias("rejected_good"), "n_good", F.col("t.r0").alias("rejected_bad"), "n_bad", _bounds()("t.r1", "n_good", F.lit(delta / len(tests)) / F.col("strata")).alias("bound"))
     gain = F.col("rejected_bad") / F.greatest("n_bad", F.lit(1)) - F.col("rejected_good") / F.greatest("n_good", F.lit(1))
     best = W.partitionBy("stratum", "rule").orderBy(F.col("gain").desc(), F.col("cutoff").desc())
     passed = flat.withColumn("gain", gain).where((F.col("bound") <= alpha / len(RULES)) & (F.col("gain") > 0))
     return passed.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r", "gain")
 
 
-def apply_rules(docs: DataFrame, labels: DataFrame, *, stratum: str | None = "lang", window: int = 8, least_words: int = 20, most_repeated: int = 30, **options) -> DataFrame:
+def path_of(share_bad: list[float], share_rest: list[float]) -> list[int]:
+    """The numbers in TESTS of a stratum's steps, lax to strict: those that reject more of the bad than of the rest, by the ratio of shares.
+
+    A step that a cutoff of its rule before it already covers is left out. Equal ratios go by the greater share of the
+    bad, then by number.
+    """
+    gains = [i for i in range(len(TESTS)) if share_bad[i] > share_rest[i]]
+    gains.sort(key=lambda i: (-share_bad[i] / max(share_rest[i], 1e-12), -share_bad[i], i))
+    least: dict[str, float] = {}
+    steps = []
+    for i in gains:
+        rule, _, cutoff = TESTS[i]
+        if cutoff < least.get(rule, math.inf):
+            least[rule] = cutoff
+            steps.append(i)
+    return steps
+
+
+def calibrate_jointly(measured: DataFrame, labels: DataFrame, *, alpha: float = 0.05, delta: float = 0.05, label: str = "quality") -> DataFrame:
+    """(stratum, step, n_good, rejected_good, bound, one cutoff or null per rule): the last step that passed, per stratum that has one."""
+    rows = measured.where("not base_failed").join(_labels(labels, label), "doc_id", "left")
+    texts = rows.groupBy("stratum", "text_hash").agg(F.min("good").alias("good"), *[F.first(m).alias(m) for m in MEASURES])
+    texts = common.written(texts, "rules-texts")
+    hits = F.array(*[F.coalesce(F.expr(f"{value} > {cutoff}"), F.lit(False)).cast("int") for _, value, cutoff in TESTS])
+    sums = lambda among: F.array(*[F.sum(F.when(F.expr(among), F.get("hits", i)).otherwise(0)) for i in range(len(TESTS))])
+    counts = texts.withColumn("hits", hits).groupBy("stratum").agg(F.count_if(F.expr("good = 0")).alias("n_bad"), F.count_if(F.expr("good is null")).alias("n_rest"), sums("good = 0").alias("bad"), sums("good is null").alias("rest"), F.count_if(F.expr("good = 1")).alias("n_good"))
+
+    @F.pandas_udf("array<int>")
+    def path(bad, n_bad, rest, n_rest):
+        return bad.combine(n_bad, lambda b, n: [x / max(n, 1) for x in b]).combine(rest.combine(n_rest, lambda r, n: [x / max(n, 1) for x in r]), path_of)
+
+    paths = common.written(counts.select(F.col("stratum").alias("s"), "n_good", path("bad", "n_bad", "rest", "n_rest").alias("path")), "rules-paths")
+    # Strata of which any step could pass at level delta; their number corrects the level.
+    able = max(paths.where(F.col("n_good") >= math.log(delta) / math.log1p(-alpha)).count(), 1)
+    held = texts.where("good = 1").withColumn("hits", hits).join(paths.drop("n_good"), F.col("stratum").eqNullSafe(F.col("s")))
+    first = F.array_position(F.transform("path", lambda i: F.get(F.col("hits"), i)), 1)
+    rejected = held.groupBy("stratum", first.alias("step")).agg(F.count("*").alias("n"))
+    steps = paths.select(F.col("s").alias("stratum"), "n_good", "path", F.explode(F.sequence(F.lit(1), F.size("path"))).alias("step")).where("size(path) > 0")
+    steps = steps.join(rejected.withColumnsRenamed({"stratum": "s", "step": "k"}), F.col("stratum").eqNullSafe(F.col("s")) & (F.col("step") == F.col("k")), "left")
+    upto = W.partitionBy("stratum").orderBy("step")
+    steps = steps.withColumn("rejected_good", F.sum(F.coalesce("n", F.lit(0))).over(upto))
+    steps = steps.withColumn("bound", _bounds()("rejected_good", "n_good", F.lit(delta / able)))
+    steps = steps.withColumn("failed", F.max((F.col("bound") > alpha).cast("int")).over(upto)).where("failed = 0")
+    last = steps.groupBy("stratum").agg(F.max(F.struct("step", "n_good", "rejected_good", "bound", "path")).alias("x")).select("stratum", "x.*")
+    taken = F.slice("path", F.lit(1), F.col("step"))
+    of_rule = lambda rule: F.array(*[F.when(F.lit(t[0] == rule), F.lit(float(t[2]))) for t in TESTS])
+    own = lambda rule: F.array_min(F.transform(taken, lambda i: F.get(of_rule(rule), i)))  # noqa: E731  nulls don't count
+    cutoff = {rule: own(rule) for rule in RULES}
+    return last.select("stratum", "step", "n_good", "rejected_good", "bound", *[c.alias(rule) for rule, c in cutoff.items()])
+
+
+def apply_rules(docs: DataFrame, labels: DataFrame, *, stratum: str | None = "lang", window: int = 8, least_words: int = 20, most_repeated: int = 30, joint: bool = True, **options) -> DataFrame:
     """Per row of docs: doc_id, the measures, base_failed, kept, rejected_by (the rules that reject it)."""
     base = F.expr(f"n_words < {least_words} or 100 * n_repeat_words > {most_repeated} * n_words")
     measured = common.written(measure(docs, stratum, window).withColumn("base_failed", base), "rules-measures")
-    cutoffs = common.written(calibrate(measured, labels, **options).groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff")).withColumnRenamed("stratum", "_s"), "rules-cutoffs")
+    chosen = calibrate_jointly(measured, labels, **options).select("stratum", *RULES) if joint else calibrate(measured, labels, **options).groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff"))
+    cutoffs = common.written(chosen.withColumnRenamed("stratum", "_s"), "rules-cutoffs")
     tested = measured.join(cutoffs, F.col("stratum").eqNullSafe(F.col("_s")), "left")
     hit = [F.when(F.expr(f"{value} > {rule}"), F.lit(rule)) for rule, (value, _) in RULES.items()]
     out = tested.withColumn("rejected_by", F.array_compact(F.array(*hit)))
