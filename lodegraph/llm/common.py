@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +18,11 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder named by spark.checkpoint.dir; a local one only where that is unset and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = LOCAL_FALLBACK
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -87,12 +90,13 @@ def seeded_sample(rows: DataFrame, group: str, n: int, most_groups: int, seed: i
     return near.withColumn("_r", nth).where(F.col("_r") <= n).drop("_u", "_n", "_r")
 
 
-def components(edges: DataFrame, tag: str = "components", most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, tag: str = "components", most_rounds: int = 200) -> DataFrame:
     """(node, component) for all nodes of edges (a, b): component is the least node that can be reached.
 
     Alternating large-star and small-star rounds: each node's neighbours are tied to its least neighbour, until
     every component is a star. Minima are aggregated before any shuffle and joined back, so that a hub's
-    neighbours need not meet in one task; each round is a written table.
+    neighbours need not meet in one task; each round is a written table. Rounds end only when nothing changes; if
+    most_rounds is not enough that is an error.
     """
 
     def state(e: DataFrame) -> tuple:
@@ -115,5 +119,7 @@ def components(edges: DataFrame, tag: str = "components", most_rounds: int = 60)
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components are not complete after {most_rounds} rounds")
     stars = e.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
     return stars.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

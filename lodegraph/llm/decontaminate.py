@@ -7,7 +7,8 @@ verbatim match of each document. Words that no item has get number 0, which matc
 
 The benchmark is the stated query set: it is read in blocks of at most `block_bytes` characters of text, dealt by the
 hash of the item id, and each block is broadcast (the bound is a parameter) and searched in one pass over the corpus.
-A window's items are numbered once per distinct set of words, so that a window that many items share costs no more.
+The continuations of a window in the items are kept in order, so that the longest match at a place is found by binary
+search among them, however many items share the window. Matches of equal length name the least item.
 
 Edge cases: null or wordless texts have no words, are never hit, and a wordless item never occurs; a null item_id is
 listed as an empty string; repeated items count once by item_id; repeated documents each get their row; an empty
@@ -17,8 +18,11 @@ benchmark or corpus gives no hits or no rows; further columns are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +34,7 @@ _UPPER = {c: c + 32 for c in range(65, 91)}
 #: Words of corpus per suffix array: bounds a task's memory; a document is never cut.
 SHARD_WORDS = 1 << 19
 SPANS = pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())]))
-MATCHES = "doc_id long, n_words long, hits array<struct<a:int,z:int>>, items array<string>, longest int, longest_item string, longest_at int"
+MATCHES = "doc_id long, h long, n_words long, hits array<struct<a:int,z:int>>, items array<string>, longest int, longest_item string, longest_at int"
 
 
 def words_of(text: str | None) -> list[str]:
@@ -55,13 +59,27 @@ class Queries:
                 found.setdefault(tuple(w[i : i + k]), {}).setdefault(item, tuple(w[i:]))
         self.windows = sorted(found)
         self.items = [sorted(found[w]) for w in self.windows]
-        self.tails = [found[w] for w in self.windows]
+        self.tails = [sorted((tail, item) for item, tail in found[w].items()) for w in self.windows]
+        self.most = [max(len(t) for t, _ in tails) for tails in self.tails]
         self.lengths = np.array([len(w) for w in self.windows], np.int64)
         self.rows = np.zeros((len(self.windows), window), np.int64)
         for i, w in enumerate(self.windows):
             self.rows[i, : len(w)] = w
 
 
+def longest_tail(tails: list[tuple[tuple, str]], words: tuple) -> tuple[int, str]:
+    """The length of the longest common prefix of words with any of the sorted tails, and the least item that has it."""
+    at = bisect_left(tails, (words,))
+    n = 0
+    for tail, _ in tails[max(at - 1, 0) : at + 1]:
+        k = 0
+        while k < min(len(tail), len(words)) and tail[k] == words[k]:
+            k += 1
+        n = max(n, k)
+    low, high = bisect_left(tails, (words[:n],)), bisect_left(tails, ((*words[:n], math.inf),))
+    return n, min(item for _, item in tails[low:high])
+
+
 def suffix_array(seq: np.ndarray, depth: int) -> np.ndarray:
     """The starts of seq's suffixes without number 0 at their head, sorted by their first `depth` numbers at least.
 
@@ -110,7 +128,7 @@ def search(seq: np.ndarray, sa: np.ndarray, rows: np.ndarray, lengths: np.ndarra
 
 
 def _matches(docs: list[tuple], q: Queries) -> Iterator[tuple]:
-    """MATCHES for one shard; hits are the stretches of hit words."""
+    """MATCHES for one shard of (row's own columns, word numbers); hits are the stretches of hit words."""
     numbered = [n for _, n in docs]
     seq = np.concatenate([x for n in numbered for x in (n, np.zeros(1, np.int64))])
     begins = np.concatenate([[0], np.cumsum([len(n) + 1 for n in numbered])])
@@ -128,31 +146,30 @@ def _matches(docs: list[tuple], q: Queries) -> Iterator[tuple]:
                 for at in sa[lo[w] : hi[w]]:
                     d = int(np.searchsorted(begins, at, "right")) - 1
                     places.setdefault(d, []).append((int(at - begins[d]), int(w)))
-    for d, (doc_id, ws) in enumerate(docs):
+    for d, (row, ws) in enumerate(docs):
         hits, items, best = [], set(), (0, None, None)
+        for w in {w for _, w in places.get(d, ())}:
+            items.update(q.items[w])
         for at, w in sorted(places.get(d, ())):
             end = at + int(q.lengths[w])
             if hits and at <= hits[-1]["z"]:
                 hits[-1]["z"] = max(hits[-1]["z"], end)
             else:
                 hits.append({"a": at, "z": end})
-            items.update(q.items[w])
-            for item, tail in q.tails[w].items():
-                if len(tail) > best[0]:
-                    n = int(q.lengths[w])
-                    while n < len(tail) and at + n < len(ws) and numbered[d][at + n] == tail[n]:
-                        n += 1
-                    best = max(best, (n, item, at), key=lambda b: b[0])
-        yield doc_id, len(ws), hits, sorted(items), best[0], best[1], best[2]
+            if q.most[w] > best[0]:
+                n, item = longest_tail(q.tails[w], tuple(numbered[d][at : at + q.most[w]].tolist()))
+                if n > best[0]:
+                    best = (n, item, at)
+        yield *row, len(ws), hits, sorted(items), best[0], best[1], best[2]
 
 
 def find_matches(docs: DataFrame, items: list[tuple[str, str | None]], window: int = 10) -> DataFrame:
-    """MATCHES per row of docs (doc_id, text), for one block of items."""
+    """MATCHES per row of docs (doc_id, text), for one block of items; h is the text's hash."""
     sent = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = Queries(sent.value, window)
-        kinds = [pa.int64(), pa.int64(), SPANS, pa.list_(pa.string()), pa.int32(), pa.string(), pa.int32()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), SPANS, pa.list_(pa.string()), pa.int32(), pa.string(), pa.int32()]
         names = [c.split()[0] for c in MATCHES.split(", ")]
 
         def flush(held: list) -> pa.RecordBatch:
@@ -161,8 +178,8 @@ def find_matches(docs: DataFrame, items: list[tuple[str, str | None]], window: i
 
         held, n = [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held.append((doc_id, q.numbers(text.as_py())))
+            for doc_id, text, h in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                held.append(((doc_id, h), q.numbers(text.as_py())))
                 n += len(held[-1][1])
                 if n >= SHARD_WORDS:
                     yield flush(held)
@@ -170,58 +187,54 @@ def find_matches(docs: DataFrame, items: list[tuple[str, str | None]], window: i
         if held:
             yield flush(held)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, MATCHES)
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h")).mapInArrow(run, MATCHES)
+    out._lodegraph_sent = sent  # released when a block is done
+    return out
 
 
-def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
-    """The benchmark as (item_id as text, text), in blocks of about block_bytes characters; one at a time here."""
+def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> tuple[int, Iterator[list[tuple[str, str | None]]]]:
+    """The number of blocks of about block_bytes characters, and the blocks of (item_id as text, text), read one at a time."""
     b = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").where(F.col("text").isNotNull())
     total = b.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = -(-total // block_bytes) or 1
-    for p in range(parts):
-        yield [(r["item"], r["text"]) for r in b.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == p).collect()]
+    return parts, ([(r["item"], r["text"]) for r in b.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == p).collect()] for p in range(parts))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest match and its place.
 
-    With one block (the usual case) each document is scanned once and nothing is shuffled. With more, a document's
-    hits and items are merged by row: over blocks, its stretches may overlap.
+    With one block (the usual case) each document is scanned once and nothing is shuffled. With more, each block is
+    one scan whose matches are written before the next; only rows with matches are merged, by id and text, and over
+    blocks their stretches may overlap.
     """
-    blocks = [find_matches(docs, items, window) for items in benchmark_blocks(benchmark, block_bytes)]
-    if len(blocks) == 1:
-        found = blocks[0]
+    parts, blocks = benchmark_blocks(benchmark, block_bytes)
+    if parts == 1:
+        found = find_matches(docs, next(blocks), window)
     else:
-        # Equal rows of a repeated doc_id have equal matches in every block; they are numbered to stay apart.
-        text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        distinct = text.dropDuplicates(["doc_id", "text"])
-        keyed = [_keyed(distinct, items, window) for items in benchmark_blocks(benchmark, block_bytes)]
-        found = keyed[0]
-        for k in keyed[1:]:
-            found = found.unionByName(k)
-        best = F.max_by(F.struct("longest_item", "longest_at"), "longest")
-        found = found.groupBy("doc_id", "h").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"), best.alias("b"))
-        found = found.select("doc_id", "h", "n_words", "hits", "items", "longest", F.col("b.longest_item").alias("longest_item"), F.col("b.longest_at").alias("longest_at"))
-        found = text.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("g")).join(found, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("g") == F.col("h"))).drop("d", "g", "h")
+        found = _merged(docs, blocks, window)
     return found.select("doc_id", "n_words", _covered("hits").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"), "items", "longest", "longest_item", "longest_at")
 
 
-def _keyed(distinct: DataFrame, items: list, window: int) -> DataFrame:
-    """find_matches with the text's hash, carried through as part of the id."""
-    with_hash = distinct.withColumn("_h", F.xxhash64("text"))
-    sent = distinct.sparkSession.sparkContext.broadcast(items)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = Queries(sent.value, window)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), SPANS, pa.list_(pa.string()), pa.int32(), pa.string(), pa.int32()]
-        for batch in batches:
-            ids, hashes = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            rows = _matches([(i, q.numbers(t.as_py())) for i, t in enumerate(batch.column(1))], q)
-            columns = list(zip(*[(ids[r[0]], hashes[r[0]], *r[1:]) for r in rows], strict=True))
-            if columns:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "h", *[c.split()[0] for c in MATCHES.split(", ")[1:]]])
+def _merged(docs: DataFrame, blocks: Iterator[list], window: int) -> DataFrame:
+    """MATCHES per row of docs over all blocks. Rows that repeat id and text have equal matches in each."""
+    from . import common
 
-    return with_hash.mapInArrow(run, "doc_id long, h long, " + MATCHES.split(", ", 1)[1])
+    rows, tables = None, []
+    for items in blocks:
+        found = find_matches(docs, items, window)
+        if rows is None:
+            rows = common.written(found, "matches")
+            tables.append(rows.where("size(hits) > 0"))
+        else:
+            tables.append(common.written(found.where("size(hits) > 0"), "matches"))
+        found._lodegraph_sent.unpersist()
+    every = reduce(DataFrame.unionByName, tables)
+    best = F.min(F.struct((-F.col("longest")).alias("n"), "longest_item", "longest_at"))
+    hits, items = F.flatten(F.collect_set("hits")), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items"))))
+    merged = every.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("g")).agg(hits.alias("hits"), items.alias("items"), best.alias("b"))
+    none = rows.select("doc_id", "h", "n_words").join(merged, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    return none.select("doc_id", "h", "n_words", empty("hits", "array<struct<a:int,z:int>>"), empty("items", "array<string>"), F.coalesce(-F.col("b.n"), F.lit(0)).alias("longest"), F.col("b.longest_item").alias("longest_item"), F.col("b.longest_at").alias("longest_at"))
 
 
 def _covered(hits: str):

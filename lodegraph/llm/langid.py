@@ -138,46 +138,47 @@ def train(docs: DataFrame, fold: int = 5, per_language: int = 700, windows_per_d
     return ByteCnn(classes).fit(np.stack(x), np.array(y), epochs=max(4, min(40, 40_000 // len(x))))
 
 
-def predict(docs: DataFrame, model: ByteCnn | None, passing: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, lang_pred, score, *passing) per row of docs."""
+def languages_of(model: ByteCnn, tables: dict, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    """The language and its score for each text of a batch; windows of many texts go through the network together."""
+    lang, score = ["und"] * len(texts), np.zeros(len(texts))
+    held: list[tuple[int, np.ndarray, np.ndarray]] = []
+    waiting = 0
+
+    def settle() -> None:
+        x = np.concatenate([h[1] for h in held])
+        weighted = model.windows(x, tables) * np.concatenate([h[2] for h in held])[:, None]
+        at = np.concatenate([[0], np.cumsum([len(h[1]) for h in held])[:-1]])
+        sums = np.add.reduceat(weighted, at, axis=0)
+        for (i, _, _), total in zip(held, sums, strict=True):
+            q = total / total.sum()
+            lang[i], score[i] = model.classes[int(q.argmax())], min(max(float(q.max()), 0.0), 1.0)
+        held.clear()
+
+    for i, value in enumerate(texts):
+        text = value.as_py()
+        if model and text and _LETTER.search(text):
+            held.append((i, *cut(text)))
+            waiting += len(held[-1][1])
+            if waiting >= 2048:
+                settle()
+                waiting = 0
+    if held:
+        settle()
+    return lang, score
+
+
+def predict(docs: DataFrame, model: ByteCnn | None) -> DataFrame:
+    """(doc_id, lang_pred, score) per row of docs."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *passing)
-    kept = [c for c in source.schema.fields if c.name in passing]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         tables = m.tables() if m else {}
         for batch in batches:
-            lang, score = [], []
-            held: list[tuple[int, np.ndarray, np.ndarray]] = []
-            waiting = 0
-
-            def settle() -> None:
-                x = np.concatenate([h[1] for h in held])
-                weighted = m.windows(x, tables) * np.concatenate([h[2] for h in held])[:, None]
-                at = np.concatenate([[0], np.cumsum([len(h[1]) for h in held])[:-1]])
-                sums = np.add.reduceat(weighted, at, axis=0)
-                for (i, _, _), total in zip(held, sums, strict=True):
-                    q = total / total.sum()
-                    lang[i], score[i] = m.classes[int(q.argmax())], float(q.max())
-                held.clear()
-
-            for i, value in enumerate(batch.column(1)):
-                text = value.as_py()
-                lang.append("und")
-                score.append(0.0)
-                if m and text and _LETTER.search(text):
-                    held.append((i, *cut(text)))
-                    waiting += len(held[-1][1])
-                    if waiting >= 2048:
-                        settle()
-                        waiting = 0
-            if held:
-                settle()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1)), *[batch.column(i) for i in range(2, batch.num_columns)]], names=["doc_id", "lang_pred", "score", *passing])
+            lang, score = languages_of(m, tables, batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    schema = "doc_id long, lang_pred string, score double" + "".join(f", {c.name} {c.dataType.simpleString()}" for c in kept)
-    return source.mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, fold: int = 5, **options) -> DataFrame:
@@ -196,14 +197,7 @@ def in_a_language(docs: DataFrame, least: float = 0.5, **options) -> DataFrame:
         m = sent.value
         tables = m.tables() if m else {}
         for batch in batches:
-            good = []
-            for value in batch.column(at):
-                text = value.as_py()
-                if not (m and text and _LETTER.search(text)):
-                    good.append(False)
-                    continue
-                x, size = cut(text)
-                good.append(float((m.windows(x, tables) * size[:, None]).sum(0).max() / size.sum()) >= least)
-            yield batch.filter(pa.array(good, pa.bool_()))
+            lang, score = languages_of(m, tables, batch.column(at))
+            yield batch.filter(pa.array((np.array(lang) != "und") & (score >= least)))
 
     return docs.mapInArrow(keep, docs.schema)

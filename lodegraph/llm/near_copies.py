@@ -1,21 +1,26 @@
-"""Near copies by exact Jaccard similarity of word shingles: MinHash bands propose pairs, the texts decide.
+"""Operator 4 at a given similarity: SimHash proposes the closest pairs, MinHash bands the others, the texts decide.
 
-Each distinct text has 100 minima of its hashed shingles in 20 bands of 5; texts that share a band are candidates. A
-pair of similarity s is one with probability 1 - (1 - s^5)^20: 0.9996 at 0.8. Every candidate is verified on both whole
-texts, so no pair below the threshold is linked.
+Two texts of Jaccard similarity 0.8 differ in six to seven bits of 64 in the middle, and pigeonhole blocks for so many
+bits are too short to be keys. So the fingerprints of operator 4 propose what lies within two bits, by its own blocks;
+what they can't reach is proposed by bands: each distinct text has 100 minima of its hashed shingles in 20 bands of 5,
+and texts that share a band are candidates. A pair of similarity s is one with probability 1 - (1 - s^5)^20: 0.9996 at
+0.8. Every pair is verified on both whole texts before it links, so no pair below the threshold is linked.
 
-A band that at most `most` texts share is compared pair by pair. In a fuller one all are first compared with `most` of
-them; then every two that are still in different components, from outside the largest: what is linked already needs no
-comparison, so a group of many copies stays linear and no pair that could join two components is left out.
+Candidates are verified in steps, each leaving out the pairs that the links so far have joined: fingerprints; the least
+text of a band with the others; `most` texts of a band with those outside its largest component; every two texts of a
+band that are still apart. So a group of many copies costs its number and not its square, and no pair that could join
+two components is left out.
 
 Edge cases: words are runs of bytes other than ASCII white space, ASCII capitals as small letters; fewer words than a
 shingle make one shingle; texts without a word are equal to each other; null counts as empty; an empty table gives no
-rows. Rows of null doc_id stay.
+rows. Of rows that repeat doc_id and text one stays, the least by its other columns as JSON; rows that share a doc_id
+but not the text are different documents. Rows of null doc_id stay, and are never the document that stays for others.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from . import common
-from .simhash import shingle_hashes
+from .simhash import fingerprint_of, links, shingle_hashes
 
 BANDS, ROWS = 20, 5
 _DRAW = np.random.default_rng(20240101)
@@ -37,11 +42,10 @@ def shingles(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, shingle))
 
 
-def band_keys(text: str | None, shingle: int) -> list[int]:
-    """One signed 64-bit key per band; a text without a word has the one key 0."""
+def band_keys(h: np.ndarray) -> list[int]:
+    """One signed 64-bit key per band, of a set of shingles; a text without a word has the one key 0."""
     from xxhash import xxh64_intdigest
 
-    h = shingles(text, shingle)
     if not len(h):
         return [0]
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
@@ -82,42 +86,82 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
-def one_per_group(docs: DataFrame, *, shingle: int = 5, percent: int = 80, most: int = 16) -> DataFrame:
-    """docs without the rows whose group of similar texts has a row of lesser doc_id; of rows that share that id, one stays."""
-    nodes = common.written(_texts(docs).groupBy("node").agg(F.min("doc_id").alias("least")), "near-nodes")
+def _proposals(docs: DataFrame, shingle: int) -> DataFrame:
+    """(node, fp, keys) per row of docs: the fingerprint and the band keys of its text, from one pass over its shingles."""
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [band_keys(t.as_py(), shingle) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "keys"])
-
-    keyed = _texts(docs).select("node", "text").mapInArrow(keys, "node binary, keys array<long>").select("node", F.explode("keys").alias("key")).distinct()
-    keyed = common.written(keyed, "near-keys")
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = common.written(keyed.join(sizes, "key"), "near-shared")
-    texts = _texts(docs).join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    texts = common.written(texts, "near-texts")
-
-    few, many = shared.where(F.col("n") <= most), shared.where(F.col("n") > most)
-    nth = F.row_number().over(W.partitionBy("key").orderBy(F.xxhash64("key", "node"), "node"))
-    heads = many.withColumn("r", nth).where(F.col("r") <= most).select("key", F.col("node").alias("other"))
-    to = lambda rows, others: rows.join(others, "key").where("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-    pairs = to(few, few.select("key", F.col("node").alias("other"))).unionByName(to(many, heads)).distinct()
-    links = common.written(verified(pairs, texts, shingle, percent), "near-links")
-    parts = common.written(common.components(links, "near-components"), "near-parts")
-
-    of = many.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-    of = common.written(of, "near-many")
-    largest = of.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("top"), F.count("*").alias("k")).where("k > 1")
-    apart = of.join(largest, "key").where("c <> top").select("key", "node", F.col("c").alias("c1"))
-    rest = apart.join(of.select("key", F.col("node").alias("other"), "c"), "key").where("c1 <> c")
-    rest = rest.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = common.written(verified(rest, texts, shingle, percent), "near-more-links")
-    if more.limit(1).count():
-        parts = common.components(links.unionByName(more), "near-components")
-
-    named = nodes.join(parts, "node", "left").select("least", F.coalesce("component", "node").alias("component"))
-    kept = named.groupBy("component").agg(F.min("least").alias("doc_id")).where("doc_id is not null").select("doc_id").distinct()
-    kept = common.written(kept, "near-kept")
-    out = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+            hashes = [shingle_hashes(t.as_py(), shingle) for t in batch.column(1)]
+            prints, keys = [fingerprint_of(h) for h in hashes], [band_keys(np.unique(h)) for h in hashes]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "fp", "keys"])
+
+    return _texts(docs).select("node", "text").mapInArrow(run, "node binary, fp long, keys array<long>")
+
+
+def _pair(one: str, other: str) -> list:
+    return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
+
+
+def _by_fingerprint(prints: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes in prints (node, fp) that join all whose fingerprints lie within two bits."""
+    heads = prints.groupBy("fp").agg(F.min("node").alias("head"))
+    same = prints.join(heads, "fp").where("node <> head").select(*_pair("node", "head"))
+    near = links(heads.select("fp"))
+    one, two = (heads.select(F.col("fp").alias(c), F.col("head").alias(f"head_{c}")) for c in "ab")
+    return same.unionByName(near.join(one, "a").join(two, "b").select(*_pair("head_a", "head_b")))
+
+
+def one_per_group(docs: DataFrame, *, shingle: int = 5, percent: int = 80, most: int = 16) -> DataFrame:
+    """docs with one row of each group of similar texts: that of least doc_id, and of those the least text digest."""
+    nodes = common.written(_texts(docs).groupBy("node").agg(F.min("doc_id").alias("least")), "near-nodes")
+    proposed = common.written(_proposals(docs, shingle), "near-proposals")
+    keyed = proposed.select("node", F.explode("keys").alias("key")).distinct()
+    bands = keyed.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = common.written(keyed.join(bands, "key"), "near-shared")
+    pairs = common.written(_by_fingerprint(proposed.select("node", "fp").distinct()).distinct(), "near-pairs")
+    wanted = shared.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    texts = common.written(_texts(docs).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "near-texts")
+
+    found: list[DataFrame] = []
+    tried = pairs
+    parts = None
+
+    def link(pairs: DataFrame) -> DataFrame:
+        found.append(common.written(verified(pairs, texts, shingle, percent), "near-links"))
+        return common.written(common.components(reduce(DataFrame.unionByName, found), "near-components"), "near-parts")
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        """The pairs that no links have joined and no step has tried."""
+        one, two = (parts.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")) for c in "ab")
+        left = pairs.distinct().join(one, "a", "left").join(two, "b", "left").where("coalesce(c_a, a) <> coalesce(c_b, b)").select("a", "b")
+        return common.written(left.join(tried, ["a", "b"], "left_anti"), "near-pairs")
+
+    parts = link(pairs)
+    pairs = apart(shared.where("node <> head").select(*_pair("node", "head")))
+    tried, parts = tried.unionByName(pairs), link(pairs)
+    for few in (True, False):
+        of = common.written(shared.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c")), "near-bands")
+        tops = of.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("top"), F.count("*").alias("k")).where("k > 1").drop("k")
+        outside = of.join(tops, "key").where("c <> top").select("key", F.col("node").alias("one"))
+        others = of.join(tops, "key", "left_semi")
+        if few:
+            nth = F.row_number().over(W.partitionBy("key").orderBy(F.xxhash64("key", "node"), "node"))
+            others = others.withColumn("r", nth).where(F.col("r") <= most)
+        met = outside.join(others.select("key", "node"), "key").where("one <> node")
+        pairs = apart(met.select(*_pair("one", "node")))
+        if not pairs.limit(1).count():
+            if few:
+                continue
+            break
+        tried, parts = tried.unionByName(pairs), link(pairs)
+
+    named = nodes.join(parts, "node", "left").where("least is not null").select("least", "node", F.coalesce("component", "node").alias("component"))
+    kept = named.groupBy("component").agg(F.min(F.struct("least", "node")).alias("x")).select("x.least", "x.node")
+    own, node, nth, kept_id, kept_node = (common.fresh(docs, c) for c in ("_own", "_node", "_nth", "_kept_id", "_kept_node"))
+    kept = common.written(kept.toDF(kept_id, kept_node), "near-kept")
+    rows = docs.where("doc_id is not null").withColumn(own, F.col("doc_id").cast("long")).withColumn(node, F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    rows = rows.join(kept, (F.col(own) == F.col(kept_id)) & (F.col(node) == F.col(kept_node)))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    first = W.partitionBy(own, node).orderBy(F.to_json(F.struct(*others)) if others else F.lit(""))
+    out = rows.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).select(*docs.columns)
     return out.unionByName(docs.where("doc_id is null"))

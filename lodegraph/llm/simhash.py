@@ -44,7 +44,10 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """The fingerprint of a whole text as a signed 64-bit number."""
-    h = shingle_hashes(text, shingle)
+    return fingerprint_of(shingle_hashes(text, shingle))
+
+
+def fingerprint_of(h: np.ndarray) -> int:
     if not len(h):
         return 0
     columns = h.astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -94,11 +97,22 @@ def simhash_components(docs: DataFrame, *, shingle: int = 3, most: int = 32) ->
 
 
 def one_per_component(docs: DataFrame, **options) -> DataFrame:
-    """docs without the rows whose component has a row of lesser doc_id; of rows that share that id, one stays.
+    """docs with the rows of one document of each component: its least doc_id.
 
-    Rows of null doc_id cannot be told apart by id and stay. One shuffle of docs by doc_id serves both steps.
+    Rows that share that id but not the text are different documents; of such, those whose component has the id stay.
+    Rows that repeat id and text stay once, any of them. Rows of null doc_id cannot be told apart by id and stay.
     """
-    kept = simhash_components(docs, **options).where("doc_id = component_id").select("doc_id").distinct()
-    kept = common.written(kept, "simhash-kept")
-    out = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return out.unionByName(docs.where("doc_id is null"))
+    found = simhash_components(docs, **options).where("doc_id = component_id").select("doc_id", "fingerprint").distinct()
+    own, kept_id, kept_print = (common.fresh(docs, c) for c in ("_print", "_kept_id", "_kept_print"))
+    found = common.written(found.toDF(kept_id, kept_print), "simhash-kept")
+    return _with_print(docs, own, **options).join(found, (F.col("doc_id") == F.col(kept_id)) & (F.col(own) == F.col(kept_print)), "left_semi").drop(own).dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
+
+
+def _with_print(docs: DataFrame, name: str, shingle: int = 3, most: int = 32) -> DataFrame:
+    """docs with the fingerprint of each text, in hexadecimal digits."""
+
+    @F.pandas_udf("string")
+    def of(texts):
+        return texts.map(lambda t: f"{fingerprint(t, shingle) & 0xFFFFFFFFFFFFFFFF:016x}")
+
+    return docs.withColumn(name, of("text"))

@@ -97,7 +97,7 @@ def write_blocks(docs: DataFrame, path: str, *, tokenizer_path: str, end_id: int
             yield flush()
 
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shards, F.col("doc_id")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shards, F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     ordered.mapInArrow(encode, BLOCKS).write.option("compression", "zstd").parquet(path)
     return read_blocks(spark, path)
 

@@ -91,3 +91,15 @@ def test_edge_rows(spark, edge, none):
     clean = decontaminate.clean_documents(edge, benchmark)
     assert clean.columns == edge.columns
     assert {r.doc_id for r in clean.collect()} == {None, 2, 3, 4, 6, 8}
+
+
+def test_longest_tail_against_all():
+    from lodegraph.llm.decontaminate import longest_tail
+
+    r = np.random.default_rng(3)
+    for _ in range(300):
+        tails = sorted((tuple(r.integers(1, 4, r.integers(1, 8)).tolist()), f"i{k}") for k in range(r.integers(1, 12)))
+        words = tuple(r.integers(0, 4, 8).tolist())
+        shared = {item: next((k for k, (x, y) in enumerate(zip(t, words)) if x != y), min(len(t), len(words))) for t, item in tails}
+        n = max(shared.values())
+        assert longest_tail(tails, words) == (n, min(i for i, k in shared.items() if k == n))

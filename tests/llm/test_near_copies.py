@@ -71,3 +71,11 @@ def test_edge_rows(spark, edge, none):
     assert sorted(x.doc_id for x in got if x.doc_id is not None) == kept_by_brute_force(EDGE)
     assert sum(x.doc_id is None for x in got) == 1
     assert near_copies.one_per_group(none).count() == 0
+
+
+def test_rows_of_one_id(spark):
+    """Repeated rows stay once, the least by the other columns; different texts of one id are different documents."""
+    text, other = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, text, "en", "web"), (1, text, "de", "web"), (1, other, "en", "web"), (2, other, "en", "web"), (3, text, "en", "a")]
+    got = near_copies.one_per_group(table(spark, rows)).collect()
+    assert sorted((r.doc_id, r.text, r.lang) for r in got) == sorted([(1, text, "de"), (1, other, "en")])
