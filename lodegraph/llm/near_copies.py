@@ -20,7 +20,6 @@ but not the text are different documents. Rows of null doc_id stay, and are neve
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -122,13 +121,20 @@ def one_per_group(docs: DataFrame, *, shingle: int = 5, percent: int = 80, most:
     wanted = shared.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
     texts = common.written(_texts(docs).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "near-texts")
 
-    found: list[DataFrame] = []
     tried = pairs
     parts = None
 
     def link(pairs: DataFrame) -> DataFrame:
-        found.append(common.written(verified(pairs, texts, shingle, percent), "near-links"))
-        return common.written(common.components(reduce(DataFrame.unionByName, found), "near-components"), "near-parts")
+        """The components with what pairs add. Only links between components of before go through new rounds."""
+        new = common.written(verified(pairs, texts, shingle, percent), "near-links")
+        if parts is None:
+            return common.written(common.components(new, "near-components"), "near-parts")
+        one, two = (parts.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")) for c in "ab")
+        between = new.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+        merged = common.written(common.components(between, "near-components"), "near-merged").toDF("old", "new")
+        before = parts.join(merged.withColumnRenamed("old", "component"), "component", "left").select("node", F.coalesce("new", "component").alias("component"))
+        added = merged.join(parts.select(F.col("node").alias("old")), "old", "left_anti").select(F.col("old").alias("node"), F.col("new").alias("component"))
+        return common.written(before.unionByName(added), "near-parts")
 
     def apart(pairs: DataFrame) -> DataFrame:
         """The pairs that no links have joined and no step has tried."""
