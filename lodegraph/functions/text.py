@@ -19,7 +19,13 @@ TOPICS = {
 #: Hangul's initial, medial and final letters in Latin script.
 INITIALS = ("g", "kk", "n", "d", "tt", "r", "m", "b", "pp", "s", "ss", "", "j", "jj", "ch", "k", "t", "p", "h")
 MEDIALS = ("a", "ae", "ya", "yae", "eo", "e", "yeo", "ye", "o", "wa", "wae", "oe", "yo", "u", "wo", "we", "wi", "yu", "eu", "ui", "i")
-FINALS = ("", "k", "k", "k", "n", "n", "n", "t", "l", "k", "m", "l", "l", "l", "p", "l", "m", "p", "p", "t", "t", "ng", "t", "t", "k", "t", "p", "t")
+FINALS = ("", "k", "k", "k", "n", "n", "n", "t", "l", "l", "l", "l", "l", "l", "l", "l", "m", "p", "p", "t", "t", "ng", "t", "t", "k", "t", "p", "t")
+#: Endings that a name's skeleton leaves out, and letters that it counts as one, in this order.
+NAME_ENDINGS = ("technologies", "technology", "테크놀로지", "테크놀러지", "테크놀로지스", "semiconductor", "세미컨덕터", "corporation", "industries", "materials", "머티리얼즈", "머티어리얼즈", "holdings", "홀딩스", "incorporated", "limited", "group", "그룹", "inc", "ltd", "llc", "co")
+FOLDED = (("c", "k"), ("q", "k"), ("x", "ks"), ("v", "b"), ("f", "p"), ("l", "r"), ("z", "j"), ("y", "i"), ("w", "u"), ("d", "t"), ("g", "k"), ("b", "p"), ("sh", "s"))
+#: Words that make a name that of a group, and the firms that some groups are called by.
+GROUP_ENDINGS = ("그룹", "계열", "일가")
+GROUP_FIRMS = {"현대차": "현대자동차", "한화": "한화", "롯데": "롯데지주", "포스코": "포스코홀딩스", "GS": "GS", "CJ": "CJ", "LS": "LS"}
 
 
 def collapse(c: Column) -> Column:
@@ -145,3 +151,64 @@ def repair_xml(c: Column) -> Column:
     t = F.regexp_replace(t, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
     t = F.regexp_replace(t, r"&(?!(#\d+|#x[0-9A-Fa-f]+|[A-Za-z]+);)", "&amp;")
     return F.regexp_replace(t, r"<(?![A-Za-z/!?])", "&lt;")
+
+
+def skeleton(c: Column) -> Column:
+    """The consonants of a name in Latin letters: spellings and transliterations of one name meet in it."""
+    t = F.trim(F.coalesce(c, F.lit("")))
+    low = F.lower(t)
+    cut = t
+    for ending in reversed(NAME_ENDINGS):
+        cut = F.when(low.endswith(ending) & (F.length(t) > len(ending) + 2), F.substring(t, F.lit(1), F.length(t) - len(ending))).otherwise(cut)
+    s = F.when(cut.rlike("[가-힣]"), romanize(cut)).otherwise(F.lower(cut))
+    s = F.regexp_replace(F.regexp_replace(s, "[^a-z0-9]", ""), "eu", "")
+    s = F.regexp_replace(s, "s$", "")
+    for a, b in FOLDED:
+        s = F.replace(s, F.lit(a), F.lit(b))
+    return F.regexp_replace(F.regexp_replace(s, r"(.)\1+", "$1"), "[aeiou]", "")
+
+
+def dates_to_iso(c: Column) -> Column:
+    """Dates within a text as ISO dates: 2026년 3월 18일, 2026.3.18, 2026/03/18; 2026년 3월 as a month."""
+    t = F.regexp_replace(c, r"(\d{4})\s*년\s*(\d{1,2})\s*월\s*(\d{1,2})\s*일", "$1-\u00010$2-\u00010$3")
+    t = F.regexp_replace(t, r"\b(\d{4})[./](\d{1,2})[./](\d{1,2})\b", "$1-\u00010$2-\u00010$3")
+    t = F.regexp_replace(t, r"(\d{4})\s*년\s*(\d{1,2})\s*월", "$1-\u00010$2")
+    return F.replace(F.regexp_replace(t, "\u00010(\\d\\d)", "$1"), F.lit("\u0001"), F.lit(""))
+
+
+def group_firm(c: Column) -> Column:
+    """The firm that a group's name stands for: the name without its ending, or the firm the group is called by; else null."""
+    firms = F.create_map(*[F.lit(x) for pair in GROUP_FIRMS.items() for x in pair])
+    base = F.regexp_extract(c, "^(.+?)\\s*(?:" + "|".join(GROUP_ENDINGS) + ")$", 1)
+    return F.when(base != "", F.coalesce(F.element_at(firms, base), base))
+
+
+def clean_name(c: Column) -> Column:
+    """A name in a disclosure without footnotes and notes: white space single, missing marks null."""
+    return F.nullif(F.trim(F.regexp_replace(F.regexp_replace(collapse(clean_missing(c)), r"\(?\s*(주|註)\s*\d+\s*\)|\*+", ""), r"\(\s*\)", "")), F.lit(""))
+
+
+def clean_lines(c: Column, mark: str = "\n") -> Column:
+    """The parts between line feeds, or between bullets, joined by bars; null if nothing is left."""
+    parts = F.filter(F.transform(F.split(clean_missing(c), mark), collapse), lambda x: x.isNotNull())
+    return F.nullif(F.array_join(parts, " | "), F.lit(""))
+
+
+def without_names(c: Column, names) -> Column:
+    """A label without the given names, white space single: labels are compared without what the question names."""
+    for name in names:
+        c = F.replace(c, F.lit(name), F.lit(" "))
+    return F.trim(F.regexp_replace(c, r"\s+", " "))
+
+
+def route_key(c: Column) -> Column:
+    return F.lower(F.regexp_replace(c, r"\s+", ""))
+
+
+def title_key(c: Column) -> Column:
+    """A headline for comparison: no tags before it, no entities, quotes, middle dots or white space."""
+    t = F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]+>", "")
+    for entity, char in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&apos;", "'"), ("&#39;", "'")):
+        t = F.replace(t, F.lit(entity), F.lit(char))
+    t = F.regexp_replace(t, r"^(\s*[\[〈<【][^\]〉>】]{1,20}[\]〉>】]\s*)+", "")
+    return F.regexp_replace(F.regexp_replace(t, "[\"'‘’“”·ㆍ]", ""), r"\s+", "")

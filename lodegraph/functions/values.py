@@ -85,3 +85,27 @@ def stable_id(prefix: str, length: int, *parts: Column) -> Column:
 def ordered_union(*arrays: Column) -> Column:
     """Distinct elements in order of first sight, nulls left out."""
     return F.array_distinct(F.array_compact(F.concat(*arrays)))
+
+
+def percent_of(top: Column, bottom: Column) -> Column:
+    """Of a statement's figures: percent to two digits; null where either is missing or the denominator is zero."""
+    d = lambda c: c.cast("decimal(28,6)")
+    return F.when(top.isNotNull() & (bottom != 0), F.round(d(top) * 100 / d(bottom), 2).cast("double"))
+
+
+def ratio_in_percent(value: Column, text: Column) -> Column:
+    """A share given as a fraction becomes percent if the text shows a hundred times it and not itself; else it stays."""
+    shown = F.transform(F.regexp_extract_all(text, F.lit(r"([0-9]+(?:\.[0-9]+)?)\s*%"), 1), lambda p: p.cast("double"))
+    near = lambda v: F.exists(shown, lambda p: F.abs(p - v) < 0.01)
+    return F.when(near(value), value).when(near(value * 100), F.round((value * 100).cast("decimal(28,10)"), 4).cast("double")).otherwise(value)
+
+
+def news_event_id(name_key: Column, occurred_at: Column) -> Column:
+    """One event under one name and month, whichever articles tell of it."""
+    return F.concat(F.lit("evt_news_"), F.substring(F.sha1(F.concat(name_key, F.lit("|"), F.substring(F.coalesce(occurred_at, F.lit("")), 1, 7)).cast("binary")), 1, 12))
+
+
+def timeline_entry(c: Column) -> Column:
+    """period|name|id as a struct; a shorter entry leaves nulls."""
+    part = lambda i: F.get(F.split(c, r"\|"), i)
+    return F.struct(part(0).alias("period"), part(1).alias("name"), part(2).alias("id"))

@@ -74,5 +74,6 @@ def merge_keeper(nodes: DataFrame, group: str, *, code: str, degree: str) -> Dat
 
     Groups with two different codes are different firms and are left alone.
     """
-    g = nodes.groupBy(group).agg(F.count("*").alias("n"), F.count_distinct(code).alias("codes"), F.max_by("key", F.struct(F.col(code).isNotNull().alias("a"), F.col(degree).alias("b"), F.hash("key").alias("c"))).alias("keep")).where("n > 1 and codes <= 1")
+    best = F.struct(F.col(code).isNull().alias("a"), (-F.col(degree)).alias("b"), F.col("key").alias("c"))
+    g = nodes.groupBy(group).agg(F.count("*").alias("n"), F.count_distinct(code).alias("codes"), F.min_by("key", best).alias("keep")).where("n > 1 and codes <= 1")
     return nodes.join(g.select(group, "keep"), group).where("key <> keep").select(F.col("key").alias("old"), "keep")

@@ -55,12 +55,24 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def trigram_matches(candidates: DataFrame, names: DataFrame, *, threshold: float = 0.3) -> DataFrame:
     """(candidate, name, similarity): pairs of at least the threshold, by an equi-join on trigrams.
 
-    Pairs without a common trigram are never formed; the overlap is counted and the Jaccard follows from the sizes.
+    Each text goes by its rarest trigrams alone: of n it needs n - ceil(threshold * n) + 1, since a pair that reaches
+    the threshold has one of these in common. So the commonest trigrams, which most texts have, join nothing. Pairs
+    whose sizes rule them out go before the sets are compared.
     """
-    grams = lambda df, c: df.select(c).distinct().withColumn("g", T.word_trigrams(F.col(c))).select(c, F.size("g").alias(f"n_{c}"), F.explode("g").alias("g"))
-    both = grams(candidates, "candidate").join(grams(names, "name"), "g").groupBy("candidate", "name", "n_candidate", "n_name").agg(F.count("*").alias("both"))
-    s = F.col("both") / (F.col("n_candidate") + F.col("n_name") - F.col("both"))
-    return both.withColumn("similarity", s).where(F.col("similarity") >= threshold).select("candidate", "name", "similarity")
+    sets = lambda df, c: df.select(c).distinct().withColumn("g", T.word_trigrams(F.col(c))).where(F.size("g") > 0)
+    a, b = sets(candidates, "candidate"), sets(names, "name")
+    often = a.select(F.explode("g").alias("t")).unionByName(b.select(F.explode("g").alias("t"))).groupBy("t").agg(F.count("*").alias("often"))
+
+    def rarest(df: DataFrame, c: str) -> DataFrame:
+        one = df.select(c, "g", F.explode("g").alias("t")).join(often, "t")
+        r = F.row_number().over(W.partitionBy(c).orderBy("often", "t"))
+        need = F.size("g") - F.ceil(F.size("g") * F.lit(threshold) - 1e-9) + 1
+        return one.withColumn("r", r).where(F.col("r") <= need).select(c, F.col("g").alias(f"g_{c}"), "t")
+
+    pairs = rarest(a, "candidate").join(rarest(b, "name"), "t")
+    n, m = F.size("g_candidate"), F.size("g_name")
+    pairs = pairs.where(F.least(n, m) >= F.greatest(n, m) * threshold - 1e-9).dropDuplicates(["candidate", "name"])
+    return pairs.select("candidate", "name", T.jaccard(F.col("g_candidate"), F.col("g_name")).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def best_match(matches: DataFrame) -> DataFrame:

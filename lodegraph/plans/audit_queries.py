@@ -40,9 +40,9 @@ def audit_nodes(spark, d):
     "edge_validity_inverted": "valid_until < first_seen",
     "edge_seen_in_future": "last_seen > :today",
     "edge_self_loop": "src = tgt",
-    "edge_subtype_blank": "subtype IS NULL OR trim(subtype) IN ('', '.', '·', '-')",
-    "edge_supply_is_ownership": "regexp_matches(subtype, '매각|전환사채|유상증자|신주|대여|차입|합병|청산|출자')",
-    "edge_partner_is_supply": "type = 'PARTNERS_WITH'",
+    "edge_subtype_blank": "type NOT IN ('DEVELOPS', 'HAS_EVENT', 'IMPACTS') AND (subtype IS NULL OR trim(subtype) IN ('', '.', '·', '-'))",
+    "edge_supply_is_ownership": "type = 'SUPPLIES_TO' AND regexp_matches(subtype, '매각|전환사채|유상증자|신주|대여|차입|합병|청산|출자')",
+    "edge_partner_is_supply": "type = 'PARTNERS_WITH' AND regexp_matches(subtype, '공급계약|납품|OEM|ODM')",
     "edge_source_missing": "source_doc IS NULL",
     "edge_last_seen_missing": "last_seen IS NULL",
     "edge_stage1_stale": "stage1 IS NOT NULL AND stage1 <> 'wrong_type' AND NOT coalesce(suspect, false)",
@@ -83,9 +83,10 @@ def audit_hubs(spark, d):
     return relations.degrees(G.supplies(spark, d)).where("degree > 150")
 
 
-@query("SELECT a.src AS a, a.tgt AS b FROM (SELECT DISTINCT l_suppkey % 40 AS src, o_custkey % 40 AS tgt FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 7) a JOIN (SELECT DISTINCT l_suppkey % 40 AS src, o_custkey % 40 AS tgt FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 7) b ON a.src = b.tgt AND a.tgt = b.src WHERE a.src < a.tgt", with_graph=False)
+@query("WITH e AS (SELECT DISTINCT l_suppkey AS src, o_custkey AS tgt FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT a.src AS a, a.tgt AS b FROM e a JOIN e b ON a.src = b.tgt AND a.tgt = b.src WHERE a.src < a.tgt", with_graph=False)
 def bidirectional_pairs(spark, d):
-    e = G.supply_lines(spark, d).where("l_linenumber = 7").select((F.col("l_suppkey") % 40).alias("a"), (F.col("o_custkey") % 40).alias("b")).distinct()
+    """Firms that supply each other, a supplier and a customer of one number being one firm; all lines."""
+    e = G.supply_lines(spark, d).select(F.col("l_suppkey").alias("a"), F.col("o_custkey").alias("b")).distinct()
     # a pair is bidirectional if its unordered form has both directions: one aggregate instead of a self-join
     both = e.where("a <> b").groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.count("*").alias("n")).where("n = 2")
     return both.select(F.col("x").alias("a"), F.col("y").alias("b"))
@@ -138,11 +139,13 @@ def token_overlap(spark, d):
     return b.join(nxt, "item_id").select("item_id", "against", E.three(T.overlap(F.col("other"), toks), 6).alias("overlap"))
 
 
-@query("SELECT doc_id, n_topics FROM (SELECT doc_id, CAST(regexp_matches(text, 'licen[cs]e|Licen[cs]e') AS INT) + CAST(regexp_matches(text, '[0-9]{3}-[0-9]{4}') AS INT) + CAST(regexp_matches(text, '[#$%&]{3}') AS INT) AS n_topics FROM documents) WHERE n_topics > 0", with_graph=False)
+_HEAD = "CASE o_orderkey % 6 WHEN 0 THEN '공정위, 납품단가 담합 제재' WHEN 1 THEN '지분 M&A 추진' WHEN 2 THEN '공장 화재와 리콜' WHEN 3 THEN '맑은 날씨' WHEN 4 THEN '자회사 소송' ELSE '파업에 생산차질' END"
+_TOPIC = ", ".join(f"CASE WHEN regexp_matches(t, '{'|'.join(w.replace('&', '[&]') for w in words)}') THEN '{name}' END" for name, words in T.TOPICS.items())
+
+
+@query(f"SELECT o_orderkey, concat_ws(',', {_TOPIC}) AS topics FROM (SELECT o_orderkey, {_HEAD} AS t FROM orders)", with_graph=False)
 def topics_multi(spark, d):
-    rules = {"license": "licen[cs]e|Licen[cs]e", "phone": "[0-9]{3}-[0-9]{4}", "symbols": "[#$%&]{3}"}
-    found = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.lit(n)) for n, p in rules.items()]))
-    return G.table(spark, d, "documents").select("doc_id", F.size(found).alias("n_topics")).where("n_topics > 0")
+    return G.table(spark, d, "orders").select("o_orderkey", F.array_join(T.topics(F.expr(_HEAD)), ",").alias("topics"))
 
 
 @query("SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)', 1)) AS host, array_to_string(string_split(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)', 1)), '.')[-2:], '.') AS domain FROM pages", with_graph=False)
@@ -206,9 +209,9 @@ def purge_split(spark, d):
     return G.supplies(spark, d).groupBy(F.when(F.col("suspect"), "archive").otherwise("keep").alias("part")).agg(F.count("*").alias("n"), F.count_distinct("src").alias("sources"))
 
 
-@query("SELECT edge_id, CASE WHEN corroboration > 1 AND corroboration <= 5 THEN corroboration END AS amount, CAST(round(CAST(confidence AS DECIMAL(28,10)), 3) AS DOUBLE) AS ratio FROM supplies WHERE subtype = 'N'")
+@query("SELECT edge_id, CASE WHEN corroboration > 1 AND corroboration <= 5 THEN corroboration END AS amount, CAST(round(CAST(confidence AS DECIMAL(28,10)), 3) AS DOUBLE) AS ratio FROM supplies")
 def numeric_guard(spark, d):
-    e = G.supplies(spark, d).where("subtype = 'N'")
+    e = G.supplies(spark, d)
     return e.select("edge_id", V.plausible(F.col("corroboration"), F.col("type").isin("SUPPLIES_TO", "ACQUIRES"), 1, 5).alias("amount"), E.three(F.col("confidence")).alias("ratio"))
 
 
@@ -225,9 +228,9 @@ def pattern_no_alternative(spark, d):
     return G.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("part")).agg(F.count_distinct("l_suppkey").alias("suppliers")).where("suppliers <= 20")
 
 
-@query("SELECT 'C' || o_custkey AS company, count(DISTINCT year(o_orderdate)) AS years, count(*) AS orders FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey HAVING count(DISTINCT year(o_orderdate)) >= 2", with_graph=False)
+@query("SELECT 'C' || o_custkey AS company, count(DISTINCT year(o_orderdate)) AS years, count(*) AS orders FROM orders GROUP BY o_custkey HAVING count(DISTINCT year(o_orderdate)) >= 2", with_graph=False)
 def recurrence_years(spark, d):
-    o = G.table(spark, d, "orders").where("o_orderstatus = 'P'")
+    o = G.table(spark, d, "orders")
     return o.groupBy(G.key("C", "o_custkey").alias("company")).agg(F.count_distinct(F.year("o_orderdate")).alias("years"), F.count("*").alias("orders")).where("years >= 2")
 
 
@@ -258,12 +261,13 @@ def shared_risk(spark, d):
 @query("SELECT n.key AS regulator, count(*) AS firms, list_sort(list(e.tgt))[1:5] AS some FROM simple_edges e JOIN nodes n ON e.src = n.key WHERE e.type = 'REGULATES' GROUP BY n.key HAVING count(*) >= 2")
 def shared_regulator(spark, d):
     e = G.simple_edges(spark, d).where("type = 'REGULATES'")
-    return e.groupBy(F.col("src").alias("regulator")).agg(F.count("*").alias("firms"), F.slice(F.array_sort(F.collect_list("tgt")), 1, 5).alias("some")).where("firms >= 2")
+    five = relations.top_per_key(e, ["src"], [F.col("tgt")], 5).groupBy("src").agg(F.array_sort(F.collect_list("tgt")).alias("some"))
+    return e.groupBy("src").agg(F.count("*").alias("firms")).where("firms >= 2").join(five, "src").select(F.col("src").alias("regulator"), "firms", "some")
 
 
-@query("SELECT event_type, month, n, CAST(n - lag(n, 1, 0) OVER (PARTITION BY event_type ORDER BY month) AS BIGINT) AS change FROM (SELECT event_type, substr(occurred_at, 1, 9) AS month, count(*) AS n FROM ev GROUP BY ALL)")
+@query("SELECT event_type, month, n, CAST(n - lag(n, 1, 0) OVER (PARTITION BY event_type ORDER BY month) AS BIGINT) AS change FROM (SELECT event_type, substr(occurred_at, 1, 7) AS month, count(*) AS n FROM ev GROUP BY ALL)")
 def type_skew(spark, d):
-    g = G.events(spark, d).groupBy("event_type", F.substring("occurred_at", 1, 9).alias("month")).agg(F.count("*").alias("n"))
+    g = G.events(spark, d).groupBy("event_type", F.substring("occurred_at", 1, 7).alias("month")).agg(F.count("*").alias("n"))
     return g.withColumn("change", F.col("n") - F.lag("n", 1, 0).over(W.partitionBy("event_type").orderBy("month")))
 
 
@@ -273,10 +277,14 @@ def value_percentiles(spark, d):
     return G.table(spark, d, "events").groupBy("event_type").agg(p(0.5).alias("p50"), E.three(p(0.75), 4).alias("p75"), E.three(p(0.9), 4).alias("p90"))
 
 
-@query("SELECT label, sha1(array_to_string(list_sort(list(CAST(vec_id AS VARCHAR))), ',')) AS fingerprint, count(*) AS n FROM embeddings GROUP BY label", with_graph=False)
+@query("SELECT label, sha1(string_agg(part, ',' ORDER BY block)) AS fingerprint, CAST(sum(n) AS BIGINT) AS n FROM (SELECT label, vec_id // 1000 AS block, sha1(string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY vec_id)) AS part, count(*) AS n FROM embeddings GROUP BY ALL) GROUP BY label", with_graph=False)
 def ranking_fingerprint(spark, d):
-    ids = F.array_join(F.array_sort(F.collect_list(F.col("vec_id").cast("string"))), ",")
-    return G.table(spark, d, "embeddings").groupBy("label").agg(F.sha1(ids.cast("binary")).alias("fingerprint"), F.count("*").alias("n"))
+    """A digest of each label's ids: ranges of a thousand ids are digested in many tasks, then their digests in order."""
+    e = G.table(spark, d, "embeddings").groupBy("label", F.expr("vec_id div 1000").alias("block"))
+    part = lambda c: F.sha1(F.array_join(c, ",").cast("binary"))
+    blocks = e.agg(part(F.transform(F.array_sort(F.collect_list("vec_id")), lambda v: v.cast("string"))).alias("part"), F.count("*").alias("n"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("block", "part"))), lambda b: b["part"])
+    return blocks.groupBy("label").agg(part(ordered).alias("fingerprint"), F.sum("n").alias("n"))
 
 
 @query("SELECT type, category, count(*) AS n FROM (SELECT type, CASE type WHEN 'SUPPLIES_TO' THEN 'trade' WHEN 'DEVELOPS' THEN 'product' WHEN 'DEPENDS_ON' THEN 'product' WHEN 'REGULATES' THEN 'risk' END AS category FROM (SELECT type FROM supplies UNION ALL SELECT type FROM simple_edges)) GROUP BY ALL")
@@ -299,12 +307,13 @@ def news_feed(spark, d):
     return relations.top_per_key(docs, ["source"], [F.col("n_chars").desc(), F.col("doc_id")], 5).select("doc_id", "source", "lang")
 
 
-@query("WITH p AS (SELECT page_id, array_to_string(string_split(regexp_extract(url, '://([^/:?#]+)', 1), '.')[-2:], '.') AS domain, regexp_extract(url, '://[^/]+/([a-z]+)/', 1) AS lang FROM pages), v AS (SELECT domain, lang, count(*) AS n FROM p GROUP BY ALL), top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY n DESC, lang) AS r FROM v) WHERE r = 1) SELECT page_id, CASE WHEN n >= 2 THEN top.lang END AS majority FROM p JOIN top USING (domain)", with_graph=False)
+@query("WITH p AS (SELECT page_id, array_to_string(string_split(regexp_extract(url, '://([^/:?#]+)', 1), '.')[-2:], '.') AS domain, regexp_extract(url, '://[^/]+/([a-z]+)/', 1) AS lang FROM pages), v AS (SELECT domain, lang, count(*) AS n FROM p GROUP BY ALL), top AS (SELECT * FROM (SELECT *, sum(n) OVER (PARTITION BY domain) AS total, row_number() OVER (PARTITION BY domain ORDER BY n DESC, lang) AS r FROM v) WHERE r = 1) SELECT page_id, CASE WHEN n >= 2 AND 2 * n >= total THEN top.lang END AS majority FROM p JOIN top USING (domain)", with_graph=False)
 def majority_vote(spark, d):
     p = G.table(spark, d, "pages").select("page_id", T.registrable_domain(T.host(F.col("url"))).alias("domain"), F.regexp_extract("url", "://[^/]+/([a-z]+)/", 1).alias("lang"))
     v = p.groupBy("domain", "lang").agg(F.count("*").alias("n"))
-    top = v.groupBy("domain").agg(F.min(F.struct((-F.col("n")).alias("m"), "lang")).alias("b"))
-    return p.join(top, "domain").select("page_id", F.when(-F.col("b.m") >= 2, F.col("b.lang")).alias("majority"))
+    top = v.groupBy("domain").agg(F.min(F.struct((-F.col("n")).alias("m"), "lang")).alias("b"), F.sum("n").alias("total"))
+    sure = (-F.col("b.m") >= 2) & (-2 * F.col("b.m") >= F.col("total"))
+    return p.join(top, "domain").select("page_id", F.when(sure, F.col("b.lang")).alias("majority"))
 
 
 @query("SELECT turn, kind, event_id FROM (SELECT row_number() OVER (PARTITION BY event_type ORDER BY occurred_at DESC, event_id) AS turn, event_type AS kind, event_id FROM ev) WHERE turn <= 12 ORDER BY turn, array_position(['error', 'purchase', 'signup', 'view', 'click'], kind) LIMIT 12")

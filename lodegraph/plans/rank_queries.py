@@ -89,7 +89,8 @@ def vector_similarity(spark, d):
 
 
 _GRAMS = "(SELECT {c}, list_distinct(flatten(list_transform(list_filter(string_split_regex(lower({c}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS g FROM (SELECT DISTINCT {c} FROM {t}))"
-_CANDS = "cands(candidate) AS (VALUES ('smal rings'), ('red widgit'), ('Nation 12'), ('blue gear box'), ('copper'), ('zzz'))"
+_SPOILT = "substr(p_name, 1, 2) || substr(p_name, 4) || 'x'"
+_CANDS = f"cands(candidate) AS (SELECT {_SPOILT} FROM part WHERE p_partkey % 50 = 0 UNION SELECT 'zzz')"
 _SIM = f"/*+with*/ {_CANDS}, names AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT n_name FROM nation), a AS {_GRAMS.format(c='candidate', t='cands')}, b AS {_GRAMS.format(c='name', t='names')}, sim AS (SELECT candidate, name, len(list_intersect(a.g, b.g)) / CAST(len(list_distinct(list_concat(a.g, b.g))) AS DOUBLE) AS similarity FROM a, b)"
 
 
@@ -97,26 +98,24 @@ def _names(spark, d):
     return G.table(spark, d, "part").select(F.col("p_name").alias("name")).unionByName(G.table(spark, d, "nation").select(F.col("n_name").alias("name"))).distinct()
 
 
-def _cands(spark):
-    return spark.createDataFrame([(x,) for x in ("smal rings", "red widgit", "Nation 12", "blue gear box", "copper", "zzz")], "candidate string")
+def _cands(spark, d):
+    """The names of all parts whose key is divisible by 50, with a letter lost and one added."""
+    return G.table(spark, d, "part").where("p_partkey % 50 = 0").selectExpr(f"{_SPOILT} AS candidate").unionByName(spark.range(1).selectExpr("'zzz' AS candidate"))
 
 
 @query(_SIM + f" SELECT candidate, name, {r('similarity', 6)} AS similarity FROM sim WHERE similarity >= 0.3")
 def trigram_match(spark, d):
-    return retrieval.trigram_matches(_cands(spark), _names(spark, d)).withColumn("similarity", E.three(F.col("similarity"), 6))
+    return retrieval.trigram_matches(_cands(spark, d), _names(spark, d)).withColumn("similarity", E.three(F.col("similarity"), 6))
 
 
 @query(_SIM + f" SELECT candidate, name, {r('similarity', 6)} AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY similarity DESC, length(name) DESC, name) AS r FROM sim WHERE similarity >= 0.3) WHERE r = 1")
 def trigram_best(spark, d):
-    return retrieval.best_match(retrieval.trigram_matches(_cands(spark), _names(spark, d))).withColumn("similarity", E.three(F.col("similarity"), 6))
+    return retrieval.best_match(retrieval.trigram_matches(_cands(spark, d), _names(spark, d))).withColumn("similarity", E.three(F.col("similarity"), 6))
 
 
-@query("SELECT key, name, CASE WHEN lower(name) = 'customer#000000012' THEN 0 WHEN starts_with(lower(name), 'customer#000000012') THEN 1 ELSE 2 END AS tier FROM nodes WHERE contains(lower(name), '00012') ORDER BY tier, length(name), name, key LIMIT 20")
+@query("SELECT key, name, CASE WHEN lower(name) = 'customer#000000012' THEN 0 WHEN starts_with(lower(name), 'customer#000000012') THEN 1 ELSE 2 END AS tier FROM nodes WHERE contains(lower(name), 'customer#000000012') ORDER BY tier, length(name), name, key LIMIT 20")
 def search_tiers(spark, d):
-    n = G.nodes(spark, d)
-    hits = n.where(F.lower("name").contains("00012"))
-    tier = F.when(F.lower("name") == "customer#000000012", 0).when(F.lower("name").startswith("customer#000000012"), 1).otherwise(2)
-    return hits.withColumn("tier", tier).orderBy("tier", F.length("name"), "name", "key").limit(20).select("key", "name", "tier")
+    return retrieval.search_tiers(G.nodes(spark, d), "Customer#000000012", 20).select("key", "name", "tier")
 
 
 @query("SELECT key, lower(regexp_replace(name, '[^A-Za-z0-9]', '', 'g')) AS compact FROM nodes WHERE label = 'Product'")
@@ -131,9 +130,10 @@ def event_groups(spark, d):
     return resolution.connected(pairs, shared_checkpoint(spark))
 
 
-@query("WITH RECURSIVE link AS (SELECT DISTINCT least(a.l_suppkey, b.l_suppkey) AS a, greatest(a.l_suppkey, b.l_suppkey) AS b FROM (SELECT DISTINCT l_suppkey, l_partkey // 3 AS g FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.1) a JOIN (SELECT DISTINCT l_suppkey, l_partkey // 3 AS g FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.1) b ON a.g = b.g AND a.l_suppkey <> b.l_suppkey), both_ AS (SELECT a, b FROM link UNION SELECT b, a FROM link), reach AS (SELECT a AS node, a AS r FROM both_ UNION SELECT reach.node, both_.b FROM reach JOIN both_ ON reach.r = both_.a) SELECT node, min(r) AS component FROM reach GROUP BY node", with_graph=False)
+@query(None, with_graph=False)
 def er_components(spark, d):
-    items = G.table(spark, d, "lineitem").where("l_quantity >= 50 and l_discount >= 0.1").select("l_suppkey", F.expr("l_partkey div 3").alias("g")).distinct()
+    """Suppliers tied by parts of one group; over all lines, so a recursive query is too slow and the test is by brute force."""
+    items = G.table(spark, d, "lineitem").select("l_suppkey", F.expr("l_partkey div 3").alias("g")).distinct()
     return resolution.connected(resolution.blocked_pairs(items, ["g"], "l_suppkey"), shared_checkpoint(spark))
 
 
@@ -143,16 +143,16 @@ def latest_per_group(spark, d):
     return consolidate.latest_per_group(o, ["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()])
 
 
-@query("""/*+with*/ m AS (SELECT key, name, sector, degree FROM nodes JOIN (SELECT src AS k, count(*) AS degree FROM supplies GROUP BY src) ON key = k WHERE label = 'Company'), g AS (SELECT sector, count(*) AS n, arg_max(key, struct_pack(a := degree, b := -CAST(substr(key, 2) AS BIGINT))) AS keep FROM m GROUP BY sector) SELECT m.key AS old, g.keep FROM m JOIN g USING (sector) WHERE n > 1 AND m.key <> g.keep""")
+@query("""/*+with*/ m AS (SELECT key, name, sector, CASE WHEN starts_with(key, 'S') AND key LIKE '%3' THEN sector END AS code, degree FROM nodes JOIN (SELECT src AS k, count(*) AS degree FROM supplies GROUP BY src) ON key = k WHERE label = 'Company'), g AS (SELECT sector, arg_min(key, struct_pack(a := code IS NULL, b := -degree, c := key)) AS keep FROM m GROUP BY sector HAVING count(*) > 1 AND count(DISTINCT code) <= 1) SELECT m.key AS old, g.keep FROM m JOIN g USING (sector) WHERE m.key <> g.keep""")
 def merge_keepers(spark, d):
     deg = G.supplies(spark, d).groupBy(F.col("src").alias("key")).agg(F.count("*").alias("degree"))
-    m = G.nodes(spark, d).where("label = 'Company'").join(deg, "key")
-    g = m.groupBy("sector").agg(F.count("*").alias("n"), F.max_by("key", F.struct("degree", (-F.substring("key", 2, 20).cast("long")).alias("b"))).alias("keep")).where("n > 1")
-    return m.join(g, "sector").where("key <> keep").select(F.col("key").alias("old"), "keep")
+    code = F.when(F.col("key").startswith("S") & F.col("key").endswith("3"), F.col("sector"))
+    m = G.nodes(spark, d).where("label = 'Company'").join(deg, "key").withColumn("code", code)
+    return consolidate.merge_keeper(m, "sector", code="code", degree="degree")
 
 
 def shared_checkpoint(spark):
-    """Cuts lineage in the folder named by spark.checkpoint.dir; a local one is set only where that is unset."""
+    """Cuts lineage in the folder named by spark.checkpoint.dir; a local one is set only where that is unset and all runs on one machine."""
     if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir("/tmp/lodegraph-checkpoints")
+        spark.sparkContext.setCheckpointDir(G.shared_folder(spark))
     return lambda df: df.checkpoint()

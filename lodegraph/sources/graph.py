@@ -6,6 +6,8 @@ Only the columns that a projection needs are read, so scans stay narrow.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,16 @@ def day(column: Column) -> Column:
     return F.date_format(column, "yyyy-MM-dd")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; a local one only where that is unset and all runs on one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "/tmp/lodegraph-checkpoints"
+    return found.rstrip("/")
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(key, label, name, sector): companies, organisations and products."""
     t = lambda n: table(spark, sf_dir, n)

@@ -37,7 +37,11 @@ def plain(v):
     return str(v)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.queries()))
+#: Closures over whole tables: too slow in SQL, tested by brute force in test_records.py.
+WITHOUT_SQL = {"er_components"}
+
+
+@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - WITHOUT_SQL))
 def test_query_equals_its_sql(spark, duck, name):
     df = catalogue.queries()[name](spark, SF)
     columns = sorted(df.columns)
@@ -49,7 +53,7 @@ def test_query_equals_its_sql(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    assert set(catalogue.queries()) == set(catalogue.oracle_sql())
+    assert set(catalogue.queries()) - WITHOUT_SQL == set(catalogue.oracle_sql())
 
 
 def test_entry_runs(spark):
