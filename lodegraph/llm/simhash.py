@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from . import common
 
@@ -56,14 +57,15 @@ def fingerprint_of(h: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) for each row of docs (doc_id, text)."""
+    """(doc_id, h, fp) for each row of docs (doc_id, text); h is the text's hash, which tells rows of one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = [fingerprint(t.as_py(), shingle) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp, pa.int64())], names=["doc_id", "h", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    return rows.mapInArrow(run, "doc_id long, h long, fp long")
 
 
 def links(fps: DataFrame, most: int = 32) -> DataFrame:
@@ -82,8 +84,8 @@ def links(fps: DataFrame, most: int = 32) -> DataFrame:
     return pairs.unionByName(balls.join(heads, "near").where("a < fp").select("a", F.col("fp").alias("b"))).distinct()
 
 
-def simhash_components(docs: DataFrame, *, shingle: int = 3, most: int = 32) -> DataFrame:
-    """Per row of docs: doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable by links)."""
+def _grouped(docs: DataFrame, shingle: int, most: int) -> DataFrame:
+    """(doc_id, h, fp, component_id) per row of docs."""
     prints = common.written(fingerprints(docs, shingle), "simhash")
     classes = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
     # Least ids name the classes: one document has one fingerprint. Rows that repeat an id may name two classes
@@ -93,26 +95,27 @@ def simhash_components(docs: DataFrame, *, shingle: int = 3, most: int = 32) ->
     named = classes.join(parts, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of = common.written(named.join(least, "component").select("fp", "component_id"), "simhash-ids")
-    return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_per_component(docs: DataFrame, **options) -> DataFrame:
-    """docs with the rows of one document of each component: its least doc_id.
+    return prints.join(of, "fp")
 
-    Rows that share that id but not the text are different documents; of such, those whose component has the id stay.
-    Rows that repeat id and text stay once, any of them. Rows of null doc_id cannot be told apart by id and stay.
-    """
-    found = simhash_components(docs, **options).where("doc_id = component_id").select("doc_id", "fingerprint").distinct()
-    own, kept_id, kept_print = (common.fresh(docs, c) for c in ("_print", "_kept_id", "_kept_print"))
-    found = common.written(found.toDF(kept_id, kept_print), "simhash-kept")
-    return _with_print(docs, own, **options).join(found, (F.col("doc_id") == F.col(kept_id)) & (F.col(own) == F.col(kept_print)), "left_semi").drop(own).dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
 
+def simhash_components(docs: DataFrame, *, shingle: int = 3, most: int = 32) -> DataFrame:
+    """Per row of docs: doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable by links)."""
+    return _grouped(docs, shingle, most).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
-def _with_print(docs: DataFrame, name: str, shingle: int = 3, most: int = 32) -> DataFrame:
-    """docs with the fingerprint of each text, in hexadecimal digits."""
 
-    @F.pandas_udf("string")
-    def of(texts):
-        return texts.map(lambda t: f"{fingerprint(t, shingle) & 0xFFFFFFFFFFFFFFFF:016x}")
+def one_per_component(docs: DataFrame, *, shingle: int = 3, most: int = 32) -> DataFrame:
+    """docs with the rows of one document of each component: its least doc_id.
 
-    return docs.withColumn(name, of("text"))
+    Rows that share that id but not the text are different documents, and those whose component has the id stay. Of
+    rows that repeat id and text one stays, the least by its other columns as JSON. Rows of null doc_id cannot be told
+    apart by id and stay.
+    """
+    own, text_hash, nth, kept_id, kept_hash = (common.fresh(docs, c) for c in ("_own", "_hash", "_nth", "_kept_id", "_kept_hash"))
+    kept = _grouped(docs, shingle, most).where("doc_id = component_id").select(F.col("doc_id").alias(kept_id), F.col("h").alias(kept_hash)).distinct()
+    kept = common.written(kept, "simhash-kept")
+    rows = docs.where("doc_id is not null").withColumn(own, F.col("doc_id").cast("long")).withColumn(text_hash, F.xxhash64("text"))
+    rows = rows.join(kept, (F.col(own) == F.col(kept_id)) & (F.col(text_hash) == F.col(kept_hash)))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    first = W.partitionBy(own, text_hash).orderBy(F.to_json(F.struct(*others)) if others else F.lit(""))
+    out = rows.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).select(*docs.columns)
+    return out.unionByName(docs.where("doc_id is null"))

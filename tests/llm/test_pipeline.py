@@ -5,7 +5,7 @@ import pytest
 
 from .conftest import EDGE, rows_of
 from .test_decontaminate import brute as hits
-from .test_near_copies import kept_by_brute_force
+from .test_simhash import kept_by_brute_force
 from .test_token_output import expected
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -26,7 +26,7 @@ def test_stages_against_brute_force(spark, sf):
     langs = texts["language_id"]
     assert set(langs) <= set(texts["documents"])
     assert len(langs) > 0.9 * len(texts["documents"])
-    # five-word shingles, Jaccard similarity 0.8 or more, all pairs
+    # fingerprints of five-word shingles within two bits, all pairs
     assert sorted(d for d, _ in texts["simhash_near_dedup"]) == kept_by_brute_force(langs)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     dirty = {r[0] for r in hits(texts["simhash_near_dedup"], items) if r[5]}

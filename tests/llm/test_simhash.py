@@ -93,3 +93,38 @@ def test_edge_rows(spark, edge, none):
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted({c for _, _, c in comp if c is not None})
     assert kept.where("doc_id is null").count() == 1
     assert simhash.one_per_component(none).count() == 0
+
+
+def kept_by_brute_force(rows, k=5):
+    """Least doc_id of each group linked by fingerprints of k-word shingles within two bits."""
+    prints = [(d, fingerprint(t, k)) for d, t, *_ in rows if d is not None]
+    comp = reach(sorted({f for _, f in prints}), lambda a, b: (a ^ b).bit_count() <= 2)
+    least = {}
+    for d, f in prints:
+        least[comp[f]] = min(least.get(comp[f], d), d)
+    return sorted(set(least.values()))
+
+
+def test_rows_of_one_id(spark):
+    """Repeated rows stay once, the least by the other columns; different texts of one id are different documents."""
+    text, other = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, text, "en", "web"), (1, text, "de", "web"), (1, other, "en", "web"), (2, other, "en", "web"), (3, text, "en", "a")]
+    got = simhash.one_per_component(table(spark, rows), shingle=5).collect()
+    assert sorted((r.doc_id, r.text, r.lang) for r in got) == sorted([(1, text, "de"), (1, other, "en")])
+
+
+def test_links_of_five_words_are_near_copies():
+    """What two bits link has a Jaccard similarity of 0.8 or more; unlike texts never link."""
+    r = np.random.default_rng(7)
+    sets = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    linked = 0
+    for i in range(200):
+        words = [f"w{x}" for x in r.integers(0, 5000, 200)]
+        other = list(words)
+        for at in r.choice(190, i % 8, replace=False):
+            other[at + 2] = f"changed{r.integers(1 << 30)}"
+        a, b = sets(words), sets(other)
+        if (fingerprint(" ".join(words), 5) ^ fingerprint(" ".join(other), 5)).bit_count() <= 2:
+            linked += 1
+            assert len(a & b) >= 0.8 * len(a | b)
+    assert linked > 25
