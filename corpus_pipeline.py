@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegraph.llm import common, decontaminate, langid, mixing, near_copies, token_output
+from lodegraph.llm import common, decontaminate, langid, mixing, simhash, token_output
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,13 +18,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each group linked by five-word shingles of Jaccard similarity 0.8 or more.
+    """Keeps the document of least id of each group linked by fingerprints of five-word shingles within two bits.
 
-    Null counts as empty; texts without a word are one group; fewer than five words are one shingle; long texts are
-    compared whole. Of rows that repeat id and text one stays, the least by its other columns; different texts of one
-    id are different documents; rows of null id all stay. An empty table gives no rows; all columns are returned.
+    All links of that kind are found; which similarities they cover is measured in the README. Null counts as empty;
+    texts without a word are one group; fewer than five words are one shingle; long texts are hashed whole. Of rows
+    that repeat id and text one stays, the least by its other columns; different texts of one id are different
+    documents; rows of null id all stay. An empty table gives no rows; all columns are returned.
     """
-    return near_copies.one_per_group(docs, shingle=5, percent=80)
+    return simhash.one_per_component(docs, shingle=5)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
