@@ -79,7 +79,9 @@ def iso_dates(spark, d):
 
 
 STATEMENTS = Rows("customer", ("c_custkey AS id", "c_acctbal AS net", "(c_custkey % 7 - 1) * 700 AS equity", "c_custkey % 5 * 900 AS assets"))
-_pct = lambda a, b: f"CAST(CASE WHEN {b} <> 0 THEN round(CAST({a} AS DECIMAL(28,6)) * 100 / CAST({b} AS DECIMAL(28,6)), 2) + 0.0 END AS DOUBLE)"
+# In whole cents, halves away from zero: a quotient of doubles would round some halves down.
+_cents = lambda a: f"CAST(round(CAST({a} AS DOUBLE) * 100) AS BIGINT)"
+_pct = lambda a, b: f"CASE WHEN {b} <> 0 THEN sign({_cents(a)}) * sign({b}) * ((200 * abs({_cents(a)}) + abs({b})) // (2 * abs({b}))) / 100.0 + 0.0 END"
 
 
 @query(f"SELECT id, {_pct('net', 'equity')} AS roe, {_pct('net', 'assets')} AS roa, {_pct('assets', 'equity')} AS debt_ratio FROM {STATEMENTS.sql}", with_graph=False)
