@@ -9,7 +9,7 @@ and texts that share a band are candidates. A pair of similarity s is one with p
 Pairs are never rows. The texts of a band come together in groups of a few hundred, and a task compares those of its
 group that no link has joined yet, by an inverted index of their shingles. A band of more texts is cut into groups by a
 hash; then those outside its largest component meet all others, group by group, so that no pair that could join two
-components is left out. Steps (fingerprints, some bands, all bands, groups of large bands) pass on only bands that still
+components is left out. Steps (fingerprints and some bands, all bands, groups of large bands) take only bands that still
 hold two components: what one step has joined, the next doesn't compare.
 
 Edge cases: words are runs of bytes other than ASCII white space, ASCII capitals as small letters; fewer words than a
@@ -188,7 +188,8 @@ def one_per_group(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> Da
     texts = common.written(_texts(docs).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "near-texts")
 
     parts = nodes.select("node", F.col("node").alias("c"))
-    for rows, dealt in ((close, _within), (shared.where(F.col("band") < FIRST_BANDS), _within), (shared, _within), (shared, _across)):
+    first = close.unionByName(shared.where(F.col("band") < FIRST_BANDS).drop("band"))
+    for rows, dealt in ((first, _within), (shared, _within), (shared, _across)):
         found = common.written(_compared(dealt(_open(rows, parts)), texts, shingle, percent), "near-links")
         merged = common.components(found, "near-components").toDF("c", "new")
         parts = common.written(parts.join(merged, "c", "left").select("node", F.coalesce("new", "c").alias("c")), "near-parts")
@@ -199,6 +200,6 @@ def one_per_group(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> Da
     rows = docs.where("doc_id is not null").withColumn(own, F.col("doc_id").cast("long")).withColumn(node, F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
     rows = rows.join(kept, (F.col(own) == F.col(kept_id)) & (F.col(node) == F.col(kept_node)))
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    first = W.partitionBy(own, node).orderBy(F.to_json(F.struct(*others)) if others else F.lit(""))
-    out = rows.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).select(*docs.columns)
+    nth_of = W.partitionBy(own, node).orderBy(F.to_json(F.struct(*others)) if others else F.lit(""))
+    out = rows.withColumn(nth, F.row_number().over(nth_of)).where(F.col(nth) == 1).select(*docs.columns)
     return out.unionByName(docs.where("doc_id is null"))
