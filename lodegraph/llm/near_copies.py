@@ -185,7 +185,10 @@ def one_per_group(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> Da
     shared = common.written(keyed.join(bands, "key"), "near-shared").select("key", "node", "size", "band")
     close = common.written(_by_fingerprint(proposed.select("node", "fp", "size").distinct()), "near-close")
     wanted = shared.select("node").union(close.select("node")).distinct()
-    texts = common.written(_texts(docs).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "near-texts")
+    # By the least id as well, so that copies of one text don't meet in one task.
+    wanted = nodes.join(wanted, "node").select("node", F.col("least").alias("doc_id"))
+    of = _texts(docs).alias("t").join(wanted.alias("w"), F.expr("t.node = w.node AND t.doc_id <=> w.doc_id"), "left_semi")
+    texts = common.written(of.groupBy("node").agg(F.first("text").alias("text")), "near-texts")
 
     parts = nodes.select("node", F.col("node").alias("c"))
     first = close.unionByName(shared.where(F.col("band") < FIRST_BANDS).drop("band"))
