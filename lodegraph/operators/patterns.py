@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import edges as E
-from .relations import degrees, one_hop, scored
+from .relations import degrees, one_hop, scored, top_per_key
 
 
 def shared_targets(edges: DataFrame, anchors: Sequence[str], peers: Sequence[str] | None = None, *, unlinked: bool = True) -> DataFrame:
@@ -22,7 +22,9 @@ def shared_targets(edges: DataFrame, anchors: Sequence[str], peers: Sequence[str
     mine = pairs.where(F.col("src").isin(*anchors)).withColumnRenamed("src", "anchor")
     theirs = pairs.where(F.col("src").isin(*peers)) if peers else pairs
     met = mine.join(theirs.withColumnRenamed("src", "peer"), "tgt").where("anchor <> peer")
-    out = met.groupBy("anchor", "peer").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list("tgt")), 1, 5).alias("shared"))
+    pair = ["anchor", "peer"]
+    five = top_per_key(met, pair, [F.col("tgt")], 5).groupBy(*pair).agg(F.array_sort(F.collect_list("tgt")).alias("shared"))
+    out = met.groupBy(*pair).agg(F.count("*").alias("n")).join(five, pair)
     if unlinked:
         ends = one_hop(edges).where(F.col("key").isin(*anchors)).select(F.col("key").alias("anchor"), F.col("other").alias("peer")).distinct()
         out = out.join(ends, ["anchor", "peer"], "left_anti")
