@@ -73,6 +73,8 @@ def propagate(impacts: DataFrame, edges: DataFrame, today: str, *, min_score: fl
     # Of parallel edges between two companies only the freshest can win, so legs are reduced before events meet them.
     best = legs.where("on").groupBy("company", "other", "channel", "decay").agg(F.max("factor").alias("factor"))
     best = best.join(fan, ["company", "channel"]).withColumn("weight", F.col("decay") * F.col("factor") * E.hub_penalty(F.col("fan")))
+    # A leg too weak for the surest event is too weak for all; half a unit of the rounded score is left as margin.
+    best = best.where(F.col("weight") * direct.agg(F.max("s1")).scalar() >= min_score - 1e-6)
     second = direct.join(best, "company").select("event_id", F.col("other").alias("company"), F.lit(2).alias("hops"), (F.col("s1") * F.col("weight")).alias("score"), "channel")
     first = direct.select("event_id", "company", F.lit(1).alias("hops"), F.col("s1").alias("score"), F.lit("").alias("channel"))
     all_ = first.unionByName(second.where("company is not null")).withColumn("score", E.three(F.col("score"), 6)).where(F.col("score") >= min_score)

@@ -40,23 +40,23 @@ def interleave(df: DataFrame, keys: Sequence[str], tier: str, side: Column, orde
     """Within limit seats per keys, the two sides of each tier take turns, side first; tiers fill in order.
 
     Seat numbers in closed form: the k-th of side takes turn 2k - 1, the k-th other 2k; ranking by turn closes the gaps
-    that a shorter side leaves.
+    that a shorter side leaves. Rows past the limit on their own side have no seat and go before the second window.
     """
     d = df.withColumn("_side", F.when(side, 0).otherwise(1))
-    d = d.withColumn("_k", F.row_number().over(W.partitionBy(*keys, tier, "_side").orderBy(*order)))
+    d = d.withColumn("_k", F.row_number().over(W.partitionBy(*keys, tier, "_side").orderBy(*order))).where(F.col("_k") <= limit)
     seat = F.row_number().over(W.partitionBy(*keys).orderBy(tier, 2 * F.col("_k") + F.col("_side"), *order))
     return d.withColumn("seat", seat).where(F.col("seat") <= limit).drop("_side", "_k")
 
 
 def turns(df: DataFrame, keys: Sequence[str], kind: str, order: Sequence[Column], budget: int) -> DataFrame:
     """Round robin over kinds within keys: the first of each kind, then the second, until the budget is spent."""
-    d = df.withColumn("turn", F.row_number().over(W.partitionBy(*keys, kind).orderBy(*order)))
+    d = df.withColumn("turn", F.row_number().over(W.partitionBy(*keys, kind).orderBy(*order))).where(F.col("turn") <= budget)
     return d.withColumn("seat", F.row_number().over(W.partitionBy(*keys).orderBy("turn", kind))).where(F.col("seat") <= budget)
 
 
 def floor_then_cap(df: DataFrame, key: str, kind: str, order: Sequence[Column], floor: int, cap: int) -> DataFrame:
     """First `floor` of every kind, then the best of the rest, up to cap per key."""
-    d = df.withColumn("_k", F.row_number().over(W.partitionBy(key, kind).orderBy(*order)))
+    d = df.withColumn("_k", F.row_number().over(W.partitionBy(key, kind).orderBy(*order))).where(F.col("_k") <= cap)
     d = d.withColumn("seat", F.row_number().over(W.partitionBy(key).orderBy(F.when(F.col("_k") <= floor, 0).otherwise(1), *order)))
     return d.where(F.col("seat") <= cap).drop("_k")
 
