@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, filter_audit, langid, licenses, mixing, quality, rules, simhash, suffix_dedup, token_counts, token_output
+from . import chat, decontaminate, filter_audit, hard_negatives, langid, licenses, mixing, quality, rules, simhash, suffix_dedup, token_counts, token_output
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,13 +65,18 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted_digests(chat.with_control(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = hard_negatives.relabelled(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return hard_negatives.hard_negatives(vectors, every=100, step=256, positives=5, negatives=10, low=30, high=90)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), part="lang")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_output, op2_quality_rules, op3_suffix_dedup, op4_simhash, op5_mixing, op6_token_counts, op7_decontaminate, op8_license_scan, op9_language_id, op10_quality_score, op11_chat_format, op13_filter_audit)}
+    return {f.__name__: f for f in (op1_token_output, op2_quality_rules, op3_suffix_dedup, op4_simhash, op5_mixing, op6_token_counts, op7_decontaminate, op8_license_scan, op9_language_id, op10_quality_score, op11_chat_format, op12_hard_negatives, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_license_scan": licenses.scan_sql(), "op11_chat_format": chat.digests_sql(), "op13_filter_audit": filter_audit.audit_sql()}
+    return {"op8_license_scan": licenses.scan_sql(), "op11_chat_format": chat.digests_sql(), "op12_hard_negatives": hard_negatives.hard_negatives_sql(), "op13_filter_audit": filter_audit.audit_sql()}
