@@ -7,8 +7,9 @@ verbatim match of each document. Words that no item has get number 0, which matc
 
 The benchmark is the stated query set: it is read in blocks of at most `block_bytes` characters of text, dealt by the
 hash of the item id, and each block is broadcast (the bound is a parameter) and searched in one pass over the corpus.
-The continuations of a window in the items are kept in order, so that the longest match at a place is found by binary
-search among them, however many items share the window. Matches of equal length name the least item.
+The places of a window in the items are kept in the order of what follows them, so that the longest match at a place
+is found by binary search among them, however many items share the window or one item repeats it. Matches of equal
+length name the least item. A block takes memory in proportion to its words.
 
 Edge cases: null or wordless texts have no words, are never hit, and a wordless item never occurs; a null item_id is
 listed as an empty string; repeated items count once by item_id; repeated documents each get their row; an empty
@@ -18,7 +19,6 @@ benchmark or corpus gives no hits or no rows; further columns are not read.
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -42,7 +42,11 @@ def words_of(text: str | None) -> list[str]:
 
 
 class Queries:
-    """A block of the benchmark: numbered words, and one row of word numbers per distinct window."""
+    """A block of the benchmark: its words by number in one sequence, and the places of every distinct window in it.
+
+    A row of the benchmark is known by the place of its first word; so nothing is kept twice, however long an item is,
+    and rows that repeat an item_id with another text are rows of their own.
+    """
 
     def numbers(self, text: str | None) -> np.ndarray:
         """The words of a text by number; 0 for those that no item has."""
@@ -50,34 +54,85 @@ class Queries:
         return np.fromiter((get(w, 0) for w in words), np.int64, len(words))
 
     def __init__(self, items: list[tuple[str, str | None]], window: int) -> None:
-        self.window, self.number, found = window, {}, {}
+        self.window, self.number = window, {}
+        parts, names = [], []
         for item, text in items:
-            w = [self.number.setdefault(x, len(self.number) + 1) for x in words_of(text)]
-            k = min(window, len(w))
-            for i in range(len(w) - k + 1 if w else 0):
-                # the suffix of the item from word i: its first k words make the window, the rest may lengthen a match
-                found.setdefault(tuple(w[i : i + k]), {}).setdefault(item, tuple(w[i:]))
-        self.windows = sorted(found)
-        self.items = [sorted(found[w]) for w in self.windows]
-        self.tails = [sorted((tail, item) for item, tail in found[w].items()) for w in self.windows]
-        self.most = [max(len(t) for t, _ in tails) for tails in self.tails]
-        self.lengths = np.array([len(w) for w in self.windows], np.int64)
-        self.rows = np.zeros((len(self.windows), window), np.int64)
-        for i, w in enumerate(self.windows):
-            self.rows[i, : len(w)] = w
-
-
-def longest_tail(tails: list[tuple[tuple, str]], words: tuple) -> tuple[int, str]:
-    """The length of the longest common prefix of words with any of the sorted tails, and the least item that has it."""
-    at = bisect_left(tails, (words,))
-    n = 0
-    for tail, _ in tails[max(at - 1, 0) : at + 1]:
-        k = 0
-        while k < min(len(tail), len(words)) and tail[k] == words[k]:
-            k += 1
-        n = max(n, k)
-    low, high = bisect_left(tails, (words[:n],)), bisect_left(tails, ((*words[:n], math.inf),))
-    return n, min(item for _, item in tails[low:high])
+            if w := words_of(text):
+                parts.append(np.array([*(self.number.setdefault(x, len(self.number) + 1) for x in w), 0], np.int64))
+                names.append(item)
+        self.names = np.array(names, object)
+        self.seq = np.concatenate(parts) if parts else np.zeros(1, np.int64)
+        size = np.array([len(p) for p in parts], np.int64)
+        self.of = np.repeat(np.arange(len(parts)), size)
+        self.end = np.repeat(np.cumsum(size) - 1, size)
+        left = self.end - np.arange(len(self.of))
+        # a place begins a window if a whole one follows, or if it begins an item that is shorter
+        first = np.zeros(len(self.of), bool)
+        first[np.cumsum(size) - size] = True
+        at = np.flatnonzero((left >= window) | (first & (left > 0)))
+        rows = np.zeros((len(at), window), np.int64)
+        for j in range(window):
+            use = left[at] > j
+            rows[use, j] = self.seq[at[use] + j]
+        self.rows, which = np.unique(rows, axis=0, return_inverse=True) if len(at) else (rows, np.zeros(0, np.int64))
+        self.lengths = (self.rows > 0).sum(1)
+        rank = suffix_ranks(self.seq)
+        order = np.lexsort((rank[at], which.ravel()))
+        self.places = at[order]
+        self.bounds = np.searchsorted(which.ravel()[order], np.arange(len(self.rows) + 1))
+        self.most = np.maximum.reduceat(left[self.places], self.bounds[:-1]) if len(at) else np.zeros(0, np.int64)
+
+    def items(self, w: int) -> set[str]:
+        return set(self.names[self.of[self.places[self.bounds[w] : self.bounds[w + 1]]]])
+
+    def longest(self, w: int, words: np.ndarray) -> tuple[int, str]:
+        """The greatest number of words that follow any place of window w as they stand in words, and the least item that has them."""
+        places = self.places[self.bounds[w] : self.bounds[w + 1]]
+        low, high = 0, len(places)
+        while low < high:
+            mid = (low + high) // 2
+            k = self.common(places[mid], words)
+            p = places[mid] + k
+            # an item that ends here, or goes on with a lesser word, stands before the words
+            if k < len(words) and (p >= self.end[places[mid]] or self.seq[p] < words[k]):
+                low = mid + 1
+            else:
+                high = mid
+        n = max(self.common(p, words) for p in places[max(low - 1, 0) : low + 1])
+        # those that share n words stand next to each other around the place found: the common prefix only falls away from it
+        shares = lambda i: self.common(places[i], words[:n]) == n
+        first = bisect_left(range(low), True, key=shares)
+        last = low + bisect_left(range(low, len(places)), True, key=lambda i: not shares(i))
+        return n, min(self.names[np.unique(self.of[places[first:last]])])
+
+    def common(self, place: int, words: np.ndarray) -> int:
+        """The length of the common prefix of words and of the item from a place on; compared in growing steps."""
+        most, done, step = min(self.end[place] - place, len(words)), 0, 32
+        while done < most:
+            z = min(done + step, most)
+            differ = self.seq[place + done : place + z] != words[done:z]
+            if differ.any():
+                return done + int(differ.argmax())
+            done, step = z, 2 * step
+        return int(most)
+
+
+def suffix_ranks(seq: np.ndarray) -> np.ndarray:
+    """The rank of each suffix of seq up to its first 0: prefix doubling until all differ, or none is longer."""
+    rank, done = seq.copy(), 1
+    longest = int(np.diff(np.concatenate([[-1], np.flatnonzero(seq == 0)])).max())
+    while done < longest:
+        nxt = np.zeros_like(rank)
+        nxt[:-done] = rank[done:]
+        nxt[rank == 0] = 0
+        key = rank * (int(nxt.max()) + 1) + nxt
+        key[seq == 0] = 0
+        found, rank = np.unique(key, return_inverse=True)
+        rank = rank.astype(np.int64) + (0 if found[0] == 0 else 1)
+        if len(found) == len(seq) - (seq == 0).sum() + 1:
+            break
+        done *= 2
+    return rank
 
 
 def suffix_array(seq: np.ndarray, depth: int) -> np.ndarray:
@@ -133,7 +188,7 @@ def _matches(docs: list[tuple], q: Queries) -> Iterator[tuple]:
     seq = np.concatenate([x for n in numbered for x in (n, np.zeros(1, np.int64))])
     begins = np.concatenate([[0], np.cumsum([len(n) + 1 for n in numbered])])
     places: dict[int, list] = {}
-    if len(q.windows) and seq.any():
+    if len(q.rows) and seq.any():
         # stretches of known words shorter than every window can't match; they need no suffixes
         edge = np.flatnonzero(seq == 0)
         run = np.diff(np.concatenate([[-1], edge])) - 1
@@ -149,7 +204,7 @@ def _matches(docs: list[tuple], q: Queries) -> Iterator[tuple]:
     for d, (row, ws) in enumerate(docs):
         hits, items, best = [], set(), (0, None, None)
         for w in {w for _, w in places.get(d, ())}:
-            items.update(q.items[w])
+            items.update(q.items(w))
         for at, w in sorted(places.get(d, ())):
             end = at + int(q.lengths[w])
             if hits and at <= hits[-1]["z"]:
@@ -157,7 +212,7 @@ def _matches(docs: list[tuple], q: Queries) -> Iterator[tuple]:
             else:
                 hits.append({"a": at, "z": end})
             if q.most[w] > best[0]:
-                n, item = longest_tail(q.tails[w], tuple(numbered[d][at : at + q.most[w]].tolist()))
+                n, item = q.longest(w, numbered[d][at : at + int(q.most[w])])
                 if n > best[0]:
                     best = (n, item, at)
         yield *row, len(ws), hits, sorted(items), best[0], best[1], best[2]
@@ -200,7 +255,7 @@ def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> tuple[int, Itera
     return parts, ([(r["item"], r["text"]) for r in b.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == p).collect()] for p in range(parts))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest match and its place.
 
     With one block (the usual case) each document is scanned once and nothing is shuffled. With more, each block is

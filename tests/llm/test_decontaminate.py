@@ -93,13 +93,50 @@ def test_edge_rows(spark, edge, none):
     assert {r.doc_id for r in clean.collect()} == {None, 2, 3, 4, 6, 8}
 
 
-def test_longest_tail_against_all():
-    from lodegraph.llm.decontaminate import longest_tail
-
-    r = np.random.default_rng(3)
-    for _ in range(300):
-        tails = sorted((tuple(r.integers(1, 4, r.integers(1, 8)).tolist()), f"i{k}") for k in range(r.integers(1, 12)))
-        words = tuple(r.integers(0, 4, 8).tolist())
-        shared = {item: next((k for k, (x, y) in enumerate(zip(t, words)) if x != y), min(len(t), len(words))) for t, item in tails}
-        n = max(shared.values())
-        assert longest_tail(tails, words) == (n, min(i for i, k in shared.items() if k == n))
+def longest(items, doc, window):
+    """The longest run of doc's words in any item, by all pairs of places; the least item, the first place of these."""
+    best, w = (0, "", 0), words(doc)
+    for at in range(len(w)):
+        for item, text in items:
+            v = words(text)
+            for i in range(len(v)):
+                k = 0
+                while at + k < len(w) and i + k < len(v) and w[at + k] == v[i + k]:
+                    k += 1
+                if k >= min(window, len(v)) and (k == len(v) or k >= window) and (k > best[0] or (k == best[0] and at == best[2] and item < best[1])):
+                    best = (k, item, at)
+    return best
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_longest_match_against_all_places(seed):
+    """Few words, so items repeat windows, share them and repeat their ids."""
+    r = np.random.default_rng(seed)
+    text = lambda n: " ".join(f"w{x}" for x in r.integers(0, 3, n))
+    items = [(f"i{k % 6}", text(r.integers(0, 30))) for k in range(9)]
+    q = decontaminate.Queries(items, 4)
+    for _ in range(40):
+        doc = text(r.integers(1, 40)) + " other " + text(3)
+        (found,) = decontaminate._matches([((1, 1), q.numbers(doc))], q)
+        n, item, at = longest(items, doc, 4)
+        assert (found[5], found[6], found[7]) == ((n, item, at) if n else (0, None, None))
+
+
+def test_item_that_repeats_its_window(spark):
+    w = " ".join(f"a{i}" for i in range(10))
+    items = spark.createDataFrame([(5, f"{w} x {w} y z q")], "item_id long, text string")
+    row = decontaminate.decontaminate(table(spark, [(1, f"pre {w} y z q post", "en", "web")]), items).first()
+    assert (row.longest, row.longest_item, row.longest_at, row.n_hit) == (13, "5", 1, 13)
+
+
+def test_very_long_items(spark):
+    """An index takes memory in proportion to the words of its items, whether they vary or repeat."""
+    r = np.random.default_rng(2)
+    varied, same = " ".join(f"v{x}" for x in r.integers(0, 5000, 50_000)), "so " * 50_000
+    q = decontaminate.Queries([("v", varied), ("s", same)], 10)
+    assert q.rows.nbytes + q.seq.nbytes + q.places.nbytes + q.of.nbytes + q.end.nbytes < 20 << 20
+    items = spark.createDataFrame([(1, varied), (2, same)], "item_id long, text string")
+    part = " ".join(varied.split()[20_000:45_000])
+    got = {x.doc_id: x for x in decontaminate.decontaminate(table(spark, [(1, "k " + part + " so", "en", "w"), (2, "so " * 300, "en", "w")]), items).collect()}
+    assert (got[1].longest, got[1].longest_at, got[1].n_hit) == (25_000, 1, 25_000)
+    assert (got[2].longest, got[2].longest_item, got[2].n_hit) == (300, "2", 300)
