@@ -1,8 +1,11 @@
 """Operator 8: licences by the digest of canonical text, in DataFrame functions only.
 
-Canonical form: ASCII capitals become small, typographic quotes and dashes plain; lines that state a copyright or
-reserve all rights go; runs of ASCII other than letters and digits become one space; spellings that count as equal
-become one. The SHA-256 digest of that form is joined with the digests of known licence texts.
+Canonical form: ASCII capitals become small, typographic quotes and dashes plain; statements of copyright go, and so
+does "all rights reserved"; runs of ASCII other than letters and digits become one space; spellings that count as equal
+become one. A statement of copyright is the word or sign with a year, or a place for one, and up to twenty words of
+holders, which end with the paragraph, at the next statement, or where a licence's own sentence begins. So sentences
+that speak of copyright, and list marks (c), stay, and no rule asks where a line breaks. The SHA-256 digest of that form
+is joined with the digests of known licence texts.
 
 Whole texts are joined as they are, and so are their units, where a notice or a licence stands in other text: every
 stretch from the beginning of a line to the end of a line, hence lines, blocks and runs of either, that is as long as a
@@ -30,9 +33,13 @@ from .license_texts import EQUIVALENT, KNOWN
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FANCY, _PLAIN = "“”„‘’–—‑", "\"\"\"''---"
-#: Of a line in lower case: what states a copyright or reserves all rights. A line that a licence's own sentence begins
-#: with "copyright notice", "copyright holders" and the like, wrapped there, states none.
-STATEMENT = r"(^|\n)[^a-z0-9\n]*(copyright(?![^a-z0-9\n]+(?:notice|holder|owner|law|statement|and|or)s?\b)|\(c\)|©|all rights reserved)[^\n]*"
+#: Of a text in lower case: the head of a statement of copyright, and what begins a sentence behind one.
+STATED = r"(?:copyright|©|\(c\))(?:\s*(?:copyright|©|\(c\)))*\s*(?:(?:19|20)\d\d(?:\s*[-,]\s*(?:19|20)\d\d)*|<year>|\[yyyy\]|19yy|yyyy)"
+SENTENCES = r"permission\s+(?:is|to)|everyone\s+is|redistribution\s+and|(?:licensed|released|distributed)\s+under|under\s+the|this\s+(?:program|library|software|file|work|is|source)|you\s+(?:may|can|must)|spdx"
+RESERVED = r"all\s+rights\s+reserved"
+#: A mark ends a statement before it; another begins one. Both are punctuation, so none is left in the canonical form.
+_END, _BEGIN = "\x01", "\x02"
+STATEMENT = _BEGIN + STATED + rf"[^\s{_END}]*(?:(?:[ \t\r]*\n[ \t\r]*|[ \t\r]+)[^\s{_END}]+)" + "{0,20}" + rf"([ \t\r]*\n?[ \t\r]*{_END}|[ \t\r]*\n[ \t\r]*\n|[ \t\r]*\n?[ \t\r]*$)"
 #: ASCII but letters, digits and the line feed.
 PUNCTUATION = r"[\x00-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f]+"
 #: The same runs but for single spaces, which stay as they are; so most of a text needs no replacement.
@@ -41,14 +48,34 @@ _RUNS = r"[\x00-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f]{2,}|[\x00-\x09\x0b-\x1f\x21-\x2
 MOST_BROADCAST, MOST_HEADS, HEAD = 10_000, 200, 40
 
 
+def rules() -> list[tuple[str, str]]:
+    """(pattern, replacement with \\1) in order: marks, then what goes."""
+    return [(f"({STATED})", f"{_END}{_BEGIN}\\1"), (f"({SENTENCES})", f"{_END}\\1"), (RESERVED, _END), (STATEMENT, "\\1")]
+
+
+def spellings() -> list[tuple[str, str]]:
+    """EQUIVALENT as (pattern, replacement with \\1) on lines: its spaces may be line feeds, which stay, before a word that becomes one of two."""
+    out = []
+    for spelling, same in EQUIVALENT:
+        if " " not in spelling or " " in same:
+            out.append((spelling.replace(" ", "( ?\\n ?| )"), same.replace(" ", "\\1")))
+        else:
+            out += [(spelling, same), (spelling.replace(" ", "( ?\\n ?)"), "\\1" + same)]
+    return out
+
+
 def canonical_lines(text: Column) -> Column:
     """The canonical form with its line feeds."""
     # Of ASCII alone, lower() does the same and is far cheaper.
     c = F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER + _FANCY, _LOWER + _PLAIN))
-    c = F.regexp_replace(c, STATEMENT, "$1")
+    java = lambda replacement: replacement.replace("\\1", "$1")
+    stated = c
+    for pattern, replacement in rules():
+        stated = F.regexp_replace(stated, pattern, java(replacement))
+    c = F.when(c.rlike("copyright|©|[(]c[)]|reserved"), stated).otherwise(c)
     c = F.regexp_replace(c, _RUNS, " ")
-    for spelling, same in EQUIVALENT:
-        c = F.replace(c, F.lit(spelling), F.lit(same))
+    for pattern, same in spellings():
+        c = F.regexp_replace(c, pattern, java(same)) if "(" in pattern else F.replace(c, F.lit(pattern), F.lit(same))
     return c
 
 
@@ -59,9 +86,11 @@ def whole(lines: Column) -> Column:
 def canonical(text: str) -> str:
     """The same of a Python string, for the table of known texts."""
     c = text.translate(str.maketrans(_UPPER + _FANCY, _LOWER + _PLAIN))
-    c = re.sub(PUNCTUATION, " ", re.sub(STATEMENT, r"\1", c))
-    for spelling, same in EQUIVALENT:
-        c = c.replace(spelling, same)
+    for pattern, replacement in rules():
+        c = re.sub(pattern, replacement, c)
+    c = re.sub(PUNCTUATION, " ", c)
+    for pattern, same in spellings():
+        c = re.sub(pattern, same, c)
     return re.sub(r"[ \n]+", " ", c).strip(" ")
 
 
@@ -116,20 +145,25 @@ def scan_sql(known: list[tuple[str, str]] = KNOWN) -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     values = ", ".join(f"({quote(name)}, {quote(c)})" for c, name in {canonical(t): n for n, t in known}.items() if c)
     c = f"translate(text, {quote(_UPPER + _FANCY)}, {quote(_LOWER + _PLAIN)})"
-    c = rf"regexp_replace({c}, '(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*', '\1', 'g')"
+    for pattern, replacement in rules():
+        c = f"regexp_replace({c}, {quote(pattern)}, {quote(replacement)}, 'g')"
     c = f"regexp_replace({c}, {quote(PUNCTUATION)}, ' ', 'g')"
-    for spelling, same in EQUIVALENT:
-        c = f"replace({c}, {quote(spelling)}, {quote(same)})"
+    for pattern, same in spellings():
+        c = f"regexp_replace({c}, {quote(pattern)}, {quote(same)}, 'g')"
     return f"""
     WITH known(name, text) AS (VALUES {values}),
     base AS (SELECT doc_id, {c} AS c FROM documents),
     texts AS (SELECT doc_id, c, trim(regexp_replace(c, '[ \\n]+', ' ', 'g'), ' ') AS t FROM base),
-    units AS (
-        SELECT doc_id, t, trim(unnest(string_split(c, chr(10))), ' ') AS unit FROM texts
-        UNION SELECT doc_id, t, trim(regexp_replace(unnest(string_split_regex(c, '\\n[ ]*\\n')), '[ \\n]+', ' ', 'g'), ' ') FROM texts),
+    split AS (SELECT doc_id, t, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, t, string_split(c, chr(10)) AS l FROM texts WHERE c IS NOT NULL)),
+    lines AS (
+        SELECT doc_id, t, line, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS stop
+        FROM (SELECT doc_id, t, trim(regexp_replace(line, ' +', ' ', 'g'), ' ') AS line, i FROM split) WHERE line <> ''),
+    stretches AS (
+        SELECT a.doc_id, k.name, k.text, a.stop - length(a.line) + length(k.text) AS stop
+        FROM lines a JOIN known k ON length(k.text) < length(a.t) AND substr(a.t, CAST(a.stop - length(a.line) + 1 AS BIGINT), length(k.text)) = k.text),
     notices AS (
-        SELECT u.doc_id, string_agg(DISTINCT k.name, ',' ORDER BY k.name) AS notices, count(DISTINCT k.text) AS n_notices
-        FROM units u JOIN known k ON u.unit = k.text WHERE u.unit <> u.t GROUP BY u.doc_id)
+        SELECT s.doc_id, string_agg(DISTINCT s.name, ',' ORDER BY s.name) AS notices, count(DISTINCT s.text) AS n_notices
+        FROM stretches s JOIN lines z ON s.doc_id = z.doc_id AND s.stop = z.stop GROUP BY s.doc_id)
     SELECT x.doc_id, sha256(x.t) AS digest, k.name AS license, coalesce(n.notices, '') AS notices, CAST(coalesce(n.n_notices, 0) AS BIGINT) AS n_notices
     FROM texts x LEFT JOIN known k ON x.t = k.text LEFT JOIN notices n ON x.doc_id = n.doc_id
     """
