@@ -159,6 +159,7 @@ def alias_match(candidates: DataFrame, aliases: DataFrame) -> DataFrame:
     """(candidate, name): the least canonical name under an alias's or a canonical key; two equal joins instead of one with OR."""
     a = aliases.where("canon_name <> ''")
     keys = a.select(F.col("alias_key").alias("k"), "canon_name").unionByName(a.select(F.col("canonical_key").alias("k"), "canon_name"))
+    keys = keys.groupBy("k").agg(F.min("canon_name").alias("canon_name"))  # one name per key before the join
     return candidates.join(keys, "k").groupBy("candidate").agg(F.min("canon_name").alias("name"))
 
 

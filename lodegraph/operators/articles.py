@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
+from . import dictionary as D
 
 #: Words of relations and of risks that let an article pass.
-RELATION_WORDS = ("인수", "합병", "피인수", "매각", "양수", "양도", "인수합병", "M&A", "지분", "출자", "투자", "지주", "계열", "자회사", "최대주주", "주주", "공급", "납품", "수주", "계약", "체결", "발주", "조달", "위탁", "외주", "거래", "구매", "판매", "공급망", "밸류체인", "협력사", "파트너사", "제휴", "협력", "협약", "MOU", "합작", "JV", "공동개발", "공동", "기술이전", "라이선스", "동맹", "파트너십", "손잡", "맞손", "입점", "진출", "협업", "소송", "제소", "피소", "고소", "분쟁", "특허침해", "침해", "갈등", "규제", "제재", "과징금", "조사", "시정명령", "위반", "담합", "공정위", "경쟁", "점유율", "1위", "추격", "맞대결", "격차")
+RELATION_WORDS = ("인수", "합병", "피인수", "매각", "양수", "양도", "인수합병", "M&A", "지분", "출자", "투자", "지주", "계열", "자회사", "최대주주", "주주", "공급", "납품", "수주", "계약", "체결", "발주", "조달", "위탁", "외주", "거래", "구매", "판매", "공급망", "밸류체인", "협력사", "파트너사", "제휴", "협력", "협약", "MOU", "합작", "JV", "공동개발", "공동", "기술이전", "라이선스", "동맹", "파트너십", "손잡", "맞손", "입점", "진출", "협업", "소송", "제소", "피소", "고소", "분쟁", "특허침해", "침해", "갈등", "규제", "제재", "과징금", "조사", "시정명령", "위반", "담합", "공정위", "경쟁", "점유율", "1위", "추격", "맞대결", "격차", "리콜", "결함", "화재", "사고", "중단", "차질", "부도", "회생", "구조조정")
 RISK_WORDS = (
     "화재", "폭발", "정전", "누출", "붕괴", "가동중단", "생산차질", "공장중단", "셧다운", "리콜", "결함", "불량", "안전사고", "중대재해", "품질문제", "파업", "총파업", "노조", "노동쟁의", "임단협", "쟁의", "태업",
     "과징금", "제재", "압수수색", "기소", "고발", "담합", "공정위", "국세청", "세무조사", "검찰", "특허침해", "소송", "가처분", "행정처분", "영업정지", "경영권", "분쟁", "소액주주", "행동주의", "주주제안", "횡령", "배임",
@@ -27,16 +28,19 @@ def any_word(c: Column, words) -> Column:
 def rule_gate(articles: DataFrame, names: DataFrame, *, track: str = "relation") -> DataFrame:
     """(ident, passed, why, codes): articles (ident, title, body) that name a firm of names (code, name) and hold a word of the track.
 
-    The firms are the fixed list that is followed, so they are broadcast as one array; longest names come first.
+    codes are those of all names that stand in the article, longest names first. Names of one letter are not looked for.
     """
-    firms = names.agg(F.array_sort(F.collect_list(F.struct((-F.length("name")).alias("n"), "name", "code"))).alias("_firms"))
     blob = F.concat_ws(" ", "title", F.coalesce("body", F.lit("")))
-    rows = articles.withColumn("_blob", blob).crossJoin(F.broadcast(firms))
-    codes = F.transform(F.filter("_firms", lambda f: F.contains(F.col("_blob"), f["name"])), lambda f: f["code"])
-    relation, risk = any_word(F.col("_blob"), RELATION_WORDS), any_word(F.col("_blob"), RISK_WORDS)
+    rows = articles.select("ident", blob.alias("text")).withColumn("_h", F.xxhash64("text"))
+    texts = rows.select(F.struct("ident", "_h").alias("ident"), "text").dropDuplicates(["ident"])
+    found = D.occurrences(texts, names).select("ident", "code", "name", "len").distinct()
+    codes = F.sort_array(F.collect_list(F.struct((-F.col("len")).alias("n"), "name", "code")))["code"]
+    found = found.groupBy("ident").agg(codes.alias("codes")).select(F.col("ident.ident").alias("_i"), F.col("ident._h").alias("_g"), "codes")
+    rows = rows.join(found, F.col("ident").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g")), "left").withColumn("codes", F.coalesce("codes", F.array().cast("array<string>")))
+    relation, risk = any_word(F.col("text"), RELATION_WORDS), any_word(F.col("text"), RISK_WORDS)
     ok = {"relation": relation, "risk": risk, "both": relation | risk}[track]
     why = F.when(F.size("codes") == 0, "no_firm").when(~ok, "no_word").otherwise("passed")
-    return rows.withColumn("codes", codes).select("ident", (why == "passed").alias("passed"), why.alias("why"), "codes")
+    return rows.select("ident", (why == "passed").alias("passed"), why.alias("why"), "codes")
 
 
 def upsert_articles(old: DataFrame, new: DataFrame) -> DataFrame:

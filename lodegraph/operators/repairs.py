@@ -9,7 +9,7 @@ from pyspark.sql.window import Window as W
 from .. import schema as S
 
 #: Endings that mark a unit of a firm.
-UNIT_ENDINGS = ("사업부", "사업부문", "사업본부", "부문", "본부", "공장", "연구소", "지점", "지사")
+UNIT_ENDINGS = ("사업부", "사업본부", "사업부문", "부문", "본부", "공장", "제조시설", "생산기술원", "기술원", "연구소", "연구원", "사업소", "캠퍼스", "랩", "센터")
 
 
 def free_of_slashes(nodes: DataFrame, key: str = "key") -> DataFrame:
