@@ -164,9 +164,9 @@ def five_percent_faults(stakes: DataFrame, *, least: float = 5.0) -> DataFrame:
     return total.where(F.col("total") < least).select("tgt", F.col("total").cast("double").alias("total"))
 
 
-def product_keepers(products: DataFrame) -> DataFrame:
+def product_keepers(products: DataFrame, by=T.compact) -> DataFrame:
     """(old, keep): products (key, name, degree) of one canonical key join the one of highest degree, the least key of equals."""
-    p = products.withColumn("k", T.compact(F.col("name"))).where("k <> ''")
+    p = products.withColumn("k", by(F.col("name"))).where("k <> ''")
     g = p.groupBy("k").agg(F.min_by("key", F.struct((-F.col("degree")).alias("d"), F.col("key"))).alias("keep"), F.count("*").alias("n")).where("n > 1")
     return p.join(g, "k").where("key <> keep").select(F.col("key").alias("old"), "keep")
 
