@@ -37,8 +37,8 @@ def plain(v):
     return str(v)
 
 
-#: Closures over whole tables: no SQL, or too slow in it; tested by brute force in test_records.py and test_event_merge.py.
-WITHOUT_SQL = {"er_components", "event_merge_groups", "event_merge_timelines"}
+#: Closures over whole tables: no SQL, or too slow in it; tested by brute force in test_records.py, test_event_merge.py and test_vector_index.py.
+WITHOUT_SQL = {"er_components", "event_merge_groups", "event_merge_timelines", "vector_index_topk"}
 
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - WITHOUT_SQL))
