@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import resolution
+from .skew import skew_join
 
 
 def births_by_name(rows: DataFrame) -> DataFrame:
@@ -20,6 +21,24 @@ def document_keys(persons: DataFrame) -> DataFrame:
     return persons.join(firm, ["doc", "name"], "left").select("doc", "key", F.coalesce("canonical", "key").alias("canonical"))
 
 
+def roster_pairs(rosters: DataFrame, overlap: int, index=None) -> DataFrame:
+    """(a, b, n): firms of rosters (company, member), a < b, with at least `overlap` members in common.
+
+    Of a firm's n members in order of how few firms have them, the first n - overlap + 1 are enough: a pair shares one
+    of these in both. So members whom many firms have, who would pair all of them, are hardly met. Pairs are then counted
+    on whole rosters. index writes the table of rosters, which is read twice.
+    """
+    index = index or (lambda df: df)
+    r = rosters.where("company IS NOT NULL AND member IS NOT NULL").select("company", "member").distinct()
+    firms = r.groupBy("member").agg(F.count("*").alias("firms"))
+    ordered = F.sort_array(F.collect_list(F.struct("firms", "member")))["member"]
+    held = index(skew_join(r, firms, "member").groupBy("company").agg(ordered.alias("members")).where(F.size("members") >= overlap))
+    first = held.select("company", "members", F.explode(F.slice("members", F.lit(1), F.size("members") - overlap + 1)).alias("member"))
+    a, b = (first.select(F.col("company").alias(c), F.col("members").alias(f"of_{c}"), "member") for c in "ab")
+    met = a.join(b, "member").where("a < b").dropDuplicates(["a", "b"])
+    return met.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("n")).where(F.col("n") >= overlap)
+
+
 def merge_persons(persons: DataFrame, holdings: DataFrame, rosters: DataFrame, checkpoint, *, overlap: int = 2) -> DataFrame:
     """(key, keep): persons (key, name, birth, self_owner) of one name that are one person.
 
@@ -28,8 +47,7 @@ def merge_persons(persons: DataFrame, holdings: DataFrame, rosters: DataFrame, c
     are formed within a name by equal keys, not between all its rows: a firm, a group of firms, or the owners. A
     component with two births is split by birth, its rows without one staying with the least.
     """
-    shared = rosters.distinct()
-    both = shared.alias("a").join(shared.alias("b"), "member").where("a.company < b.company").groupBy(F.col("a.company").alias("a"), F.col("b.company").alias("b")).agg(F.count("*").alias("n")).where(f"n >= {overlap}")
+    both = roster_pairs(rosters, overlap)
     groups = resolution.connected(both.select("a", "b"), checkpoint).withColumnRenamed("node", "company")
     posts = holdings.distinct().join(groups, "company", "left").select("key", F.coalesce("component", "company").alias("block"))
     rows = persons.join(posts, "key").select("key", "name", F.concat(F.lit("firm "), "block").alias("block"))
