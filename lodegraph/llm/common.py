@@ -78,15 +78,17 @@ def remainder(column: str, modulus: int):
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus)), F.lit(0))
 
 
-def seeded_sample(rows: DataFrame, group: str, n: int, most_groups: int, seed: int) -> DataFrame:
-    """Of each of the most_groups largest groups the n rows whose doc_id has the least seeded hash; rows have no text.
+def seeded_sample(rows: DataFrame, group: str, n: int, most_groups: int, seed: int, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Of each of the most_groups largest groups the n rows whose keys have the least seeded hash; rows have no text.
+
+    keys tell the rows apart, so that rows of one id are not taken or left together.
 
     Counts come first, so only about 2n rows of a group, however large, go on to be ordered in one task.
     """
-    rows = rows.withColumn("_u", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) / float(1 << 53))
+    rows = rows.withColumn("_u", F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11) / float(1 << 53))
     counts = rows.groupBy(group).agg(F.count("*").alias("_n")).orderBy(F.col("_n").desc(), group).limit(most_groups)
     near = rows.join(F.broadcast(counts), group).where(F.col("_u") * F.col("_n") <= 2 * n + 100)
-    nth = F.row_number().over(W.partitionBy(group).orderBy("_u", "doc_id"))
+    nth = F.row_number().over(W.partitionBy(group).orderBy("_u", *keys))
     return near.withColumn("_r", nth).where(F.col("_r") <= n).drop("_u", "_n", "_r")
 
 

@@ -16,18 +16,19 @@ rows get equal results; an empty table gives no rows; further columns are not re
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 WINDOW, DIM, WIDTHS, FILTERS = 128, 8, (2, 3, 4), 12
-_LETTER = re.compile(r"[^\W\d_]")
+#: A letter of any script; numerals such as halves and Roman ones are none.
+_LETTER = regex.compile(r"\p{L}")
 
 
 class ByteCnn:
@@ -122,11 +123,13 @@ def train(docs: DataFrame, fold: int = 5, per_language: int = 700, windows_per_d
     """Fits on rows whose fold remainder is not 0; at most per_language * windows_per_doc windows a language."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & (F.length("text") > 0) & (common.remainder("doc_id", fold) != 0))
-    # The rows are picked without their texts; the bounded set of ids then picks the texts.
-    picked = common.seeded_sample(rows.select("lang", "doc_id"), "lang", per_language, max_languages, seed).select("doc_id").distinct()
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    # The rows are picked without their texts; the bounded set of ids and hashes then picks the texts, each once.
+    keys = ["lang", "doc_id", "h"]
+    picked = common.seeded_sample(rows.select(*keys).distinct(), "lang", per_language, max_languages, seed, ("doc_id", "h")).select(*keys)
     at = lambda k: F.pmod(F.xxhash64(F.lit(seed + k), "doc_id"), F.greatest(F.length("text") - WINDOW // 2, F.lit(1))).cast("int") + 1
     cuts = F.array(*[F.col("text").substr(F.lit(1) if k == 0 else at(k), F.lit(WINDOW)) for k in range(windows_per_doc)])
-    sample = rows.join(F.broadcast(picked), "doc_id").select("lang", "doc_id", cuts.alias("cuts")).orderBy("doc_id", "lang").collect()
+    sample = rows.join(F.broadcast(picked), keys).select(*keys, cuts.alias("cuts")).groupBy(*keys).agg(F.min("cuts").alias("cuts")).orderBy("doc_id", "lang", "h").collect()
     if not sample:
         return None
     classes = sorted({r["lang"] for r in sample})

@@ -131,7 +131,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: int
             vals = pa.array([m[1] for m in made], pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cols, vals], names=["doc_id", "y", "cols", "vals"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
+    # One row per id, however many repeat it: that of the least hash.
+    rows = rows.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     sample = rows.mapInArrow(run, "doc_id long, y int, cols array<int>, vals array<float>").toArrow().sort_by("doc_id")
     y = sample.column("y").to_numpy()
     if len(np.unique(y)) < 2:

@@ -72,3 +72,19 @@ def test_edge_rows(spark, edge, none):
     unlabelled = table(spark, [(1, "some text", None, "web")])
     assert [(r.lang_pred, r.score) for r in langid.identify(unlabelled).collect()] == [("und", 0.0)]
     assert langid.in_a_language(none).count() == 0
+
+
+def test_sample_is_bounded_by_rows(spark, monkeypatch):
+    """An id that thousands of rows share is neither taken whole nor left out."""
+    seen = []
+    monkeypatch.setattr(langid.ByteCnn, "fit", lambda self, x, y, epochs: seen.append(len(x)) or self)
+    for one in (1, 2, 4, 11):
+        rows = [(one, f"text number {i} of many rows with one id", "en", "w") for i in range(3000)] + [(one, "the same text in every row", "de", "w")] * 2000
+        langid.train(table(spark, rows), per_language=50, windows_per_doc=1)
+    assert len(seen) >= 2 and set(seen) == {51}
+
+
+def test_numerals_are_no_letters(spark, documents):
+    rows = [(1, "\u00bd \u00b2 \u2167 \u2460 12", "en", "w"), (2, "\u00bd cup of flour", "en", "w"), (3, "\u6f22", "en", "w")]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(table(spark, rows).unionByName(documents.where("doc_id > 100 and doc_id < 500").select("doc_id", "text", "lang", "source", "n_chars"))).collect()}
+    assert got[1] == "und" and got[2] != "und" and got[3] != "und"

@@ -6,7 +6,7 @@ import numpy as np
 
 from lodegraph.llm import quality
 
-from .conftest import EDGE, rows_of
+from .conftest import EDGE, rows_of, table
 
 
 def auc(score, label):
@@ -59,3 +59,14 @@ def test_edge_rows(spark, edge, none):
     assert quality.score(none, labels).count() == 0
     unlabelled = quality.score(edge, labels.where("quality = 1")).collect()
     assert {r.score for r in unlabelled} == {0.5}
+
+
+def test_sample_is_bounded_by_ids(spark, monkeypatch):
+    """An id that thousands of rows share gives one row to learn from."""
+    seen = []
+    monkeypatch.setattr(quality.FactorMachine, "fit", lambda self, made, y: seen.append(len(y)) or self)
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(ids[0], f"text {i} of many", "en", "w") for i in range(3000)] + [(i, f"another text {i}", "en", "w") for i in ids[1:]]
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, quality int")
+    quality.train(table(spark, rows), labels)
+    assert seen == [len(ids)]
