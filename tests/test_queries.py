@@ -37,8 +37,8 @@ def plain(v):
     return str(v)
 
 
-#: Closures over whole tables: no SQL, or too slow in it; tested by brute force in test_records.py, test_event_merge.py, test_people.py and test_vector_index.py.
-WITHOUT_SQL = {"er_components", "event_merge_groups", "event_merge_timelines", "person_merge", "vector_index_topk"}
+#: Closures over whole tables: no SQL, or too slow in it; tested by brute force in test_records.py, test_event_merge.py, test_people.py, test_titles.py and test_vector_index.py.
+WITHOUT_SQL = {"er_components", "executive_titles", "event_merge_groups", "event_merge_timelines", "person_merge", "vector_index_topk"}
 
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - WITHOUT_SQL))
