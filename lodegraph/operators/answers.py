@@ -128,11 +128,12 @@ def card_order(cards: DataFrame, *, risky: int = 2, fresh: int = 3, limit: int =
     rank = [F.col("shared").desc(), F.col("lift").desc(), F.col("kind"), F.col("card_id")]
     group = F.when(F.col("kind").isin(*RISKY), 0).when(F.col("kind").isin(*FRESH), 1).otherwise(2)
     c = cards.withColumn("g", group)
-    c = c.withColumn("n", F.row_number().over(W.partitionBy("g").orderBy(*rank)))
-    c = c.withColumn("turn", F.when(F.col("g") == 1, F.row_number().over(W.partitionBy("kind").orderBy(*rank))))
     kinds = F.array(*map(F.lit, FRESH))
-    head1 = c.where((F.col("g") == 0) & (F.col("n") <= risky)).select("card_id", F.lit(0).alias("part"), F.struct(F.lit(0).alias("t"), F.col("n").alias("k")).alias("o"))
-    head2 = c.where("g = 1").orderBy("turn", F.array_position(kinds, F.col("kind"))).limit(fresh).select("card_id", F.lit(1).alias("part"), F.struct(F.col("turn").alias("t"), F.array_position(kinds, F.col("kind")).cast("int").alias("k")).alias("o"))
+    # Every window is over rows that a limit leaves, or is cut to `fresh` rows per kind before its shuffle.
+    top = c.where("g = 0").orderBy(*rank).limit(risky)
+    head1 = top.select("card_id", F.lit(0).alias("part"), F.struct(F.lit(0).alias("t"), F.row_number().over(W.orderBy(*rank)).alias("k")).alias("o"))
+    turns = c.where("g = 1").withColumn("turn", F.row_number().over(W.partitionBy("kind").orderBy(*rank))).where(F.col("turn") <= fresh)
+    head2 = turns.orderBy("turn", F.array_position(kinds, F.col("kind"))).limit(fresh).select("card_id", F.lit(1).alias("part"), F.struct(F.col("turn").alias("t"), F.array_position(kinds, F.col("kind")).cast("int").alias("k")).alias("o"))
     head = head1.unionByName(head2)
     rest = c.join(head.select("card_id"), "card_id", "left_anti").orderBy(*rank).limit(limit)
     rest = rest.withColumn("k", F.row_number().over(W.orderBy(*rank))).select("card_id", F.lit(2).alias("part"), F.struct(F.lit(0).alias("t"), F.col("k")).alias("o"))
