@@ -1,11 +1,11 @@
 """Names of a dictionary in texts: every place, the longest at each place, and whole words with particles behind.
 
-Each name is known by one of its trigrams, the one that fewest names have (a name of two letters by itself). The grams
-of the texts are joined with these, and a hit is verified by comparing the letters around it with the name. So a text
-meets only the names that share a rare gram with it, however many names there are.
+Names meet texts in two steps. First the beginnings of the names, of BEGINNING letters, with the lengths of the names
+that begin so, are looked for at every letter; where one stands, the words of these lengths are cut out. Then these are
+joined with the names as equals. So a place meets no more words than there are lengths, however many names begin alike.
 
-The dictionary is broadcast up to MOST_BROADCAST names, and the texts are not shuffled at all; beyond, the grams are
-shuffled with the piece of text they stand in.
+Beginnings and names are each broadcast up to MOST_BROADCAST; beyond, what is cut out is shuffled, and only with more
+beginnings than that the pieces of text.
 """
 
 from __future__ import annotations
@@ -14,20 +14,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST_BROADCAST = 500_000
+#: Letters of a name's beginning; a shorter name is its own.
+BEGINNING = 4
 #: Letters of a piece of text; what is around it goes along with each of its letters.
 PIECE = 128
 #: Particles that may stand behind a name within its word.
 PARTICLES = ("으로부터", "에서는", "에서도", "에게서", "으로는", "이라는", "에서", "에게", "으로", "까지", "부터", "처럼", "보다", "마다", "라는", "에는", "에도", "와의", "과의", "이나", "에", "의", "은", "는", "이", "가", "을", "를", "와", "과", "도", "로", "만")
 
 
-def anchors(names: DataFrame) -> DataFrame:
-    """(code, name, len, gram, off): each distinct name of two letters or more with its rarest gram and its place in the name."""
-    n = names.where("code IS NOT NULL").select("code", "name", F.length("name").alias("len")).where("len >= 2").distinct()
-    places = F.sequence(F.lit(1), F.greatest(F.col("len") - 2, F.lit(1)))
-    grams = n.select("code", "name", "len", F.explode(places).alias("off")).withColumn("gram", F.expr("substring(name, off, 3)"))
-    counts = grams.select("name", "gram").distinct().groupBy("gram").agg(F.count("*").alias("n"))
-    best = grams.join(counts, "gram").groupBy("code", "name", "len").agg(F.min(F.struct("n", "gram", "off")).alias("g"))
-    return best.select("code", "name", "len", "g.gram", "g.off")
+def named(names: DataFrame) -> DataFrame:
+    """(code, name, len): each distinct name of two letters or more."""
+    return names.where("code IS NOT NULL").select("code", "name", F.length("name").alias("len")).where("len >= 2").distinct()
+
+
+def beginnings(known: DataFrame) -> DataFrame:
+    """(gram, k, lens): what names begin with, its letters, and the lengths of the names that begin so."""
+    k = F.least("len", F.lit(BEGINNING))
+    return known.select(F.substr("name", F.lit(1), k).alias("gram"), k.alias("k"), "len").groupBy("gram", "k").agg(F.array_sort(F.collect_set("len")).alias("lens"))
 
 
 def _piece(c: Column, pad: int) -> Column:
@@ -37,6 +40,25 @@ def _piece(c: Column, pad: int) -> Column:
     return F.struct(first.alias("first"), last.alias("last"), base.alias("base"), F.substr("text", base, last - base + 1 + pad).alias("around"))
 
 
+def words(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """(ident, start, len, name, after, previous): what stands in texts where a name may begin, in the lengths of such names."""
+    begin = beginnings(known)
+    n, most, ks = begin.agg(F.count("*"), F.max(F.array_max("lens")), F.sort_array(F.collect_set("k"))).first()
+    # pieces of a text, each with enough letters before and behind it for the longest name and a particle
+    pad = (most or 0) + max(map(len, PARTICLES)) + 2
+    t = texts.where("text <> ''").select("ident", "text", F.length("text").alias("n"))
+    each = F.transform(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / PIECE).cast("int")), lambda c: _piece(c, pad))
+    pieces = t.select("ident", F.explode(each).alias("p")).select("ident", "p.*")
+    # one row per letter and length of a beginning
+    rows = pieces.select("ident", "base", "around", F.explode(F.sequence("first", "last")).alias("start"))
+    at = F.col("start") - F.col("base") + 1  # in the letters around
+    rows = rows.select("*", F.explode(F.array(*[F.lit(k) for k in ks or [0]])).alias("k")).withColumn("gram", F.substr("around", at, F.col("k")))
+    met = rows.join(F.broadcast(begin) if n <= MOST_BROADCAST else begin, ["gram", "k"])
+    met = met.select("ident", "start", "base", "around", F.explode("lens").alias("len")).withColumn("name", F.substr("around", at, F.col("len"))).where(F.length("name") == F.col("len"))
+    after = F.regexp_extract(F.substr("around", at + F.col("len")), r"^([\p{L}\p{N}]*)", 1)
+    return met.select("ident", "start", "len", "name", after.alias("after"), F.when(F.col("start") > 1, F.substr("around", F.greatest(at - 1, F.lit(1)), F.lit(1))).alias("previous"))
+
+
 def occurrences(texts: DataFrame, names: DataFrame) -> DataFrame:
     """(ident, start, len, code, name, after, previous): every place of every name in texts (ident, text).
 
@@ -45,26 +67,11 @@ def occurrences(texts: DataFrame, names: DataFrame) -> DataFrame:
     A null or empty text has none; names under two letters are not looked for; equal names of several codes are found
     for each; repeated texts give repeated rows.
     """
-    known = anchors(names)
-    n, most, short = known.agg(F.count("*"), F.max("len"), F.min("len")).first()
-    if not n:
-        return texts.select("ident", F.lit(0).alias("start"), F.lit(0).alias("len"), F.lit("").alias("code"), F.lit("").alias("name"), F.lit("").alias("after"), F.lit("").alias("previous")).limit(0)
-    # pieces of a text, each with enough letters before and behind it for the longest name and a particle
-    pad = most + max(map(len, PARTICLES)) + 2
-    t = texts.where("text <> ''").select("ident", "text", F.length("text").alias("n"))
-    each = F.transform(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / PIECE).cast("int")), lambda c: _piece(c, pad))
-    pieces = t.select("ident", F.explode(each).alias("p")).select("ident", "p.*")
-    # one row per letter: the trigram that begins there, and the pair if there are names of two letters
-    rows = pieces.select("ident", "base", "around", F.explode(F.sequence("first", "last")).alias("pos"))
-    sizes = F.array(*[F.lit(k) for k in ((3, 2) if short == 2 else (3,))])
-    gram = F.substr("around", F.col("pos") - F.col("base") + 1, F.col("k"))
-    rows = rows.select("*", F.explode(sizes).alias("k")).withColumn("gram", gram).where(F.length("gram") == F.col("k"))
-    hits = rows.join(F.broadcast(known) if n <= MOST_BROADCAST else known, "gram").withColumn("before", F.col("pos") - F.col("base"))
-    at = F.col("before") - F.col("off") + 2  # of the name, in the letters around
-    hits = hits.where((at >= 1) & (F.substr("around", F.greatest(at, F.lit(1)), F.col("len")) == F.col("name")))
-    after = F.regexp_extract(F.substr("around", at + F.col("len")), r"^([\p{L}\p{N}]*)", 1)
-    start = F.col("pos") - F.col("off") + 1
-    return hits.withColumn("start", start).select("ident", "start", "len", "code", "name", after.alias("after"), F.when(start > 1, F.substr("around", F.greatest(at - 1, F.lit(1)), F.lit(1))).alias("previous"))
+    known = named(names)
+    by_name = known.select("name", "code")
+    few = by_name.count() <= MOST_BROADCAST
+    found = words(texts, known).join(F.broadcast(by_name) if few else by_name, "name")
+    return found.select("ident", "start", "len", "code", "name", "after", "previous")
 
 
 def whole_words(found: DataFrame) -> DataFrame:

@@ -83,3 +83,13 @@ def test_unit_endings(spark):
     names = [(f"k{i}", f"한빛전자 평택{e}") for i, e in enumerate(endings)] + [("no1", "한빛전자 지점"), ("no2", "한빛전자 미국지사")]
     got = repairs.units_of_parents(spark.createDataFrame(names, "key string, name string"), spark.createDataFrame([("p", "한빛전자")], "key string, name string"))
     assert {r.key for r in got.collect()} == {f"k{i}" for i in range(len(endings))}
+
+
+def test_names_that_share_all_their_grams(spark):
+    # numbered names: every trigram is in many of them
+    names = [(str(i), f"Customer#{i:06d}") for i in range(4000)] + [("p", "Customer#00000")]
+    texts = [(i, f"1-URGENT Customer#{i * 7 % 5000:06d}는 x Customer#{i:06d}") for i in range(300)]
+    t, n = frames(spark, texts, names)
+    # a place meets one word per length, not one per name of its rarest gram
+    assert dictionary.words(t, dictionary.named(n)).count() == 2 * 2 * 300
+    assert {tuple(r)[:5] for r in dictionary.occurrences(t, n).collect()} == found(texts, names)
