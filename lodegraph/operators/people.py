@@ -25,18 +25,20 @@ def roster_pairs(rosters: DataFrame, overlap: int, index=None) -> DataFrame:
     """(a, b, n): firms of rosters (company, member), a < b, with at least `overlap` members in common.
 
     Of a firm's n members in order of how few firms have them, the first n - overlap + 1 are enough: a pair shares one
-    of these in both. So members whom many firms have, who would pair all of them, are hardly met. Pairs are then counted
-    on whole rosters. index writes the table of rosters, which is read twice.
+    of these in both. So members whom many firms have, who would pair all of them, are hardly met. Pairs are told apart
+    before the whole rosters, on which they are counted, come along. index writes the table of rosters, which is read
+    more than once.
     """
     index = index or (lambda df: df)
     r = rosters.where("company IS NOT NULL AND member IS NOT NULL").select("company", "member").distinct()
     firms = r.groupBy("member").agg(F.count("*").alias("firms"))
     ordered = F.sort_array(F.collect_list(F.struct("firms", "member")))["member"]
     held = index(skew_join(r, firms, "member").groupBy("company").agg(ordered.alias("members")).where(F.size("members") >= overlap))
-    first = held.select("company", "members", F.explode(F.slice("members", F.lit(1), F.size("members") - overlap + 1)).alias("member"))
-    a, b = (first.select(F.col("company").alias(c), F.col("members").alias(f"of_{c}"), "member") for c in "ab")
-    met = a.join(b, "member").where("a < b").dropDuplicates(["a", "b"])
-    return met.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("n")).where(F.col("n") >= overlap)
+    first = held.select("company", F.explode(F.slice("members", F.lit(1), F.size("members") - overlap + 1)).alias("member"))
+    a, b = (first.withColumnRenamed("company", c) for c in "ab")
+    met = a.join(b.hint("merge"), "member").where("a < b").select("a", "b").distinct()  # spread by member: the table is one small file
+    of = lambda c: held.select(F.col("company").alias(c), F.col("members").alias(f"of_{c}"))
+    return met.join(of("a"), "a").join(of("b"), "b").select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("n")).where(F.col("n") >= overlap)
 
 
 def merge_persons(persons: DataFrame, holdings: DataFrame, rosters: DataFrame, checkpoint, *, overlap: int = 2) -> DataFrame:

@@ -30,6 +30,16 @@ def test_pairs_against_all(spark, overlap):
     assert len(got) == len(set(got)) and set(got) == pairs_of(rows, overlap)
 
 
+def test_pairs_meet_without_their_rosters(spark):
+    rows = [(c, m) for c in range(60) for m in range(60)]
+    df = people.roster_pairs(spark.createDataFrame(rows, "company int, member int"), 2, scratch.written)
+    assert df.count() == 60 * 59 // 2 and {r.n for r in df.collect()} == {60}
+    # whole rosters come along with pairs only, not with each member by which a pair meets
+    plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    grouped = [line for line in plan if "Aggregate [" in line]
+    assert grouped and not any("of_" in line for line in grouped)
+
+
 def closure(nodes, links):
     of = {n: {n} for n in nodes}
     for a, b in links:
