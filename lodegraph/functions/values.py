@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import clean_missing
 
 
+def once(df: DataFrame, name: str, c: Column) -> DataFrame:
+    """df with a column that is computed once a row: neither later columns nor filters that are moved down repeat it."""
+    return df.select(*[k for k in df.columns if k != name], F.explode(F.array(c)).alias(name))
+
+
 def dotted_date(c: Column) -> Column:
     """1977.01.01 as an ISO date; null in any other form."""
     t = clean_missing(c)

@@ -103,21 +103,21 @@ def bulk_edges(rows: DataFrame) -> DataFrame:
 
 def contract_fields(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the fields of a supply contract's form; is_anonymous marks a counterparty that is not named."""
-    flat = F.regexp_replace(F.regexp_replace(text, "<[^>]+>", " "), r"\s+", " ")
-    field = lambda p: F.nullif(F.regexp_extract(flat, p, 1), F.lit(""))
-    said = field(r"계약상대방?\s*(.+?)\s*-?\s*(?:최근\s*매출액|주요\s*사업|회사와의|계약내역|\d+\s*\.)")
-    bare = F.regexp_replace(F.trim(F.regexp_replace(said, r"\(.*?\)", "")), r"^[-· ]+|[-· ]+$", "")
-    named = F.when((bare != "") & (F.length(bare) <= LONGEST_NAME) & ~_any(bare, NO_COUNTERPARTY), bare)
-    return docs.withColumns({
-        "counterparty": named, "is_anonymous": said.isNotNull() & named.isNull(), "amount": V.number(field(r"계약금액\(원\)\s*([\d,]+)"), "long"),
+    d = V.once(docs, "_flat", F.regexp_replace(F.regexp_replace(text, "<[^>]+>", " "), r"\s+", " "))
+    field = lambda p: F.nullif(F.regexp_extract("_flat", p, 1), F.lit(""))
+    d = V.once(d, "_said", field(r"계약상대방?\s*(.+?)\s*-?\s*(?:최근\s*매출액|주요\s*사업|회사와의|계약내역|\d+\s*\.)"))
+    d = V.once(d, "_bare", F.regexp_replace(F.trim(F.regexp_replace("_said", r"\(.*?\)", "")), r"^[-· ]+|[-· ]+$", ""))
+    d = V.once(d, "_named", F.when((F.col("_bare") != "") & (F.length("_bare") <= LONGEST_NAME) & ~_any(F.col("_bare"), NO_COUNTERPARTY), F.col("_bare")))
+    return d.withColumns({
+        "counterparty": F.col("_named"), "is_anonymous": F.col("_said").isNotNull() & F.col("_named").isNull(), "amount": V.number(field(r"계약금액\(원\)\s*([\d,]+)"), "long"),
         "revenue_ratio": F.round(V.number(field(r"매출액대비\(%\)\s*([\d.]+)")) / 100, 4), "valid_from": field(r"계약기간\s*시작일\s*(\d{4}-\d{2}-\d{2})"),
         "valid_until": field(r"종료일\s*(\d{4}-\d{2}-\d{2})"), "occurred_at": field(r"계약\(수주\)일자\s*(\d{4}-\d{2}-\d{2})"),
-    })
+    }).drop("_flat", "_said", "_bare", "_named")
 
 
 def contract_edges(docs: DataFrame) -> DataFrame:
     """SUPPLIES_TO from docs (corp, doc, reported, place, text): the latest contract with each counterparty, the first of equals."""
-    f = contract_fields(docs).where(F.col("counterparty").isNotNull()).withColumn("tgt", T.company_key(F.col("counterparty"))).where("tgt <> ''")
+    f = V.once(contract_fields(docs).where(F.col("counterparty").isNotNull()), "tgt", T.company_key(F.col("counterparty"))).where("tgt <> ''")
     what = F.struct("counterparty", "amount", "revenue_ratio", "valid_from", "valid_until", "occurred_at", "doc")
     g = f.groupBy("corp", "tgt").agg(F.max_by(what, F.struct(F.coalesce("reported", F.lit("")).alias("a"), (-F.col("place")).alias("b"))).alias("r"))
     return g.select(F.col("corp").alias("src"), "tgt", F.lit("SUPPLIES_TO").alias("type"), "r.*")

@@ -110,3 +110,11 @@ def test_split_and_convergence(spark):
     c = spark.createDataFrame([("T", "공급 계약", 9), ("T", "공급계약", 2), ("T", "수주", 1), ("U", "공급-계약", 1)], "type string, subtype string, n long")
     assert one(repairs.convergent_subtypes(c, F.lit(False)), "subtype", "keep") == [("공급계약", "공급 계약")]
     assert one(repairs.convergent_subtypes(c, F.col("subtype") == "공급계약"), "subtype", "keep") == [("공급 계약", "공급계약")]
+
+
+def test_form_fields_are_found_once(spark):
+    df = spark.createDataFrame([("1", "d", "2024", 1, "계약상대방 한빛(주) 최근 매출액")], "corp string, doc string, reported string, place int, text string")
+    plan = filings.contract_edges(df)._jdf.queryExecution().optimizedPlan().toString()
+    # two for the text, one for what stands before the sales
+    assert plan.count("<[^>]+>") == 1 and plan.count("계약상대방") == 1
+    assert [tuple(r)[:2] for r in filings.contract_edges(df).collect()] == [("1", "한빛")]
