@@ -12,12 +12,16 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text as T
 
+#: Vectors of a batch that meet a block of queries in one product.
+AT_ONCE = 512
+
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, *, ident: str = "vec_id", embedding: str = "embedding", block: int = 2048) -> DataFrame:
     """(query_id, id, similarity, rank): the k nearest of all vectors by cosine, exactly.
 
     Queries are a stated set, taken in blocks of at most about `block` rows, which bounds what is broadcast; every
-    block scans the vectors once as matrix products, and each batch sends on only its own k best per query.
+    block scans the vectors once as matrix products, AT_ONCE vectors at a time, and each batch sends on only its own k
+    best per query.
     """
     n = queries.count()
     parts = max(1, -(-n // block))
@@ -33,11 +37,8 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, *, ident: str =
             ids, q = sent.value
             for b in batches:
                 x = _unit(np.stack(b[embedding].to_numpy()).astype(np.float64)) if len(b) else np.zeros((0, q.shape[1]))
-                s = np.round(q @ x.T, 9)
-                own = b[ident].to_numpy()
-                order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
-                m = order.shape[1]
-                yield pd.DataFrame({"query_id": np.repeat(ids, m), "id": own[order].ravel(), "similarity": np.take_along_axis(s, order, 1).ravel()})
+                own, s = nearest(q, x, b[ident].to_numpy(), k)
+                yield pd.DataFrame({"query_id": np.repeat(ids, s.shape[1]), "id": own.ravel(), "similarity": s.ravel()})
 
         part = vectors.select(ident, embedding).mapInPandas(run, "query_id long, id long, similarity double")
         found = part if found is None else found.unionByName(part)
@@ -47,6 +48,17 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, *, ident: str =
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def nearest(q: np.ndarray, x: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and products of the k best rows of x for each row of q, equal ones by id; only AT_ONCE columns of products exist at a time."""
+    ids, best = np.zeros((len(q), 0), dtype=own.dtype), np.zeros((len(q), 0))
+    for i in range(0, len(x), AT_ONCE):
+        best = np.hstack([best, np.round(q @ x[i : i + AT_ONCE].T, 9)])
+        ids = np.hstack([ids, np.broadcast_to(own[i : i + AT_ONCE], (len(q), len(own[i : i + AT_ONCE])))])
+        order = np.lexsort((ids, -best), axis=1)[:, :k]
+        ids, best = np.take_along_axis(ids, order, 1), np.take_along_axis(best, order, 1)
+    return ids, best
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(x, axis=1, keepdims=True)
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)

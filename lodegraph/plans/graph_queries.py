@@ -47,7 +47,8 @@ def relation_topk(spark, d):
 
 @query("SELECT key, outgoing, count(*) AS n, count(DISTINCT other) AS others FROM (SELECT src AS key, tgt AS other, true AS outgoing FROM supplies UNION ALL SELECT tgt, src, false FROM supplies WHERE src <> tgt) GROUP BY ALL")
 def one_hop(spark, d):
-    return relations.one_hop(G.supplies(spark, d)).groupBy("key", "outgoing").agg(F.count("*").alias("n"), F.count_distinct("other").alias("others"))
+    pairs = G.supplies(spark, d).groupBy("src", "tgt").agg(F.count("*").alias("m"))
+    return relations.one_hop(pairs).groupBy("key", "outgoing").agg(F.sum("m").alias("n"), F.count("other").alias("others"))
 
 
 @query("SELECT key, CAST(count(*) AS BIGINT) AS degree FROM (SELECT src AS key FROM supplies UNION ALL SELECT tgt FROM supplies WHERE src <> tgt) GROUP BY key")
@@ -206,7 +207,9 @@ def node_seen(spark, d):
 
 @query("SELECT src, tgt, list_sort(list_distinct(list(source_doc)))[1] AS first_doc, count(DISTINCT source_doc) AS n_docs, count(DISTINCT source_type) AS n_types, CASE WHEN count(DISTINCT source_type) = 1 THEN min(source_type) END AS consensus FROM supplies GROUP BY src, tgt")
 def source_consensus(spark, d):
-    g = G.supplies(spark, d).groupBy("src", "tgt").agg(F.min("source_doc").alias("first_doc"), F.count_distinct("source_doc").alias("n_docs"), F.count_distinct("source_type").alias("n_types"), F.min("source_type").alias("t"))
+    # a pair has an edge per return flag, so its sets are small
+    size = lambda c: F.size(F.collect_set(c)).cast("long")
+    g = G.supplies(spark, d).groupBy("src", "tgt").agg(F.min("source_doc").alias("first_doc"), size("source_doc").alias("n_docs"), size("source_type").alias("n_types"), F.min("source_type").alias("t"))
     return g.select("src", "tgt", "first_doc", "n_docs", "n_types", F.when(F.col("n_types") == 1, F.col("t")).alias("consensus"))
 
 

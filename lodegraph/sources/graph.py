@@ -6,6 +6,7 @@ Only the columns that a projection needs are read, so scans stay narrow.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of the line table that one task takes up; tables of any size have tasks of this size.
+ROWS_A_TASK = 250_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df by keys over as many tasks as so many rows need: left to itself, Spark merges tasks until their memory grows with the table."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(min(cores, math.ceil(rows / 50_000)), math.ceil(rows / ROWS_A_TASK), 1), *keys)
+
+
 def key(prefix: str, column: str) -> Column:
     return F.concat(F.lit(prefix), F.col(column).cast("string"))
 
@@ -53,16 +64,23 @@ def supply_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supplies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SUPPLIES_TO edges, one per supplier, customer and return flag, with provenance and audit marks."""
+    """SUPPLIES_TO edges, one per supplier, customer and return flag, with provenance and audit marks.
+
+    Lines are dealt by both ends, so neither the edges nor what groups them by their ends is shuffled again.
+    """
     last, first = F.max("l_shipdate"), F.min("l_shipdate")
-    g = supply_lines(spark, sf_dir).groupBy("l_suppkey", "o_custkey", "l_returnflag").agg(
+    rows = table(spark, sf_dir, "lineitem").count()
+    ends = supply_lines(spark, sf_dir).select(key("S", "l_suppkey").alias("src"), key("C", "o_custkey").alias("tgt"), "l_orderkey", "l_returnflag", "l_shipdate", "l_discount")
+    g = dealt(ends, rows, "src", "tgt").groupBy("src", "tgt", "l_returnflag").agg(
         F.count_distinct("l_orderkey").cast("int").alias("corroboration"), last.alias("last"), first.alias("first"), F.max(F.round(F.col("l_discount") * 100)).cast("int").alias("d"), F.min("l_orderkey").alias("doc")
     )
-    flag, both = F.col("l_returnflag"), F.col("l_suppkey") + F.col("o_custkey")
+    number = lambda c: F.substring(c, 2, 20).cast("long")
+    flag, supplier, customer = F.col("l_returnflag"), number("src"), number("tgt")
+    both = supplier + customer
     return g.select(
-        F.concat_ws("|", key("S", "l_suppkey"), F.lit("SUPPLIES_TO"), key("C", "o_custkey"), "l_returnflag").alias("edge_id"),
-        key("S", "l_suppkey").alias("src"),
-        key("C", "o_custkey").alias("tgt"),
+        F.concat_ws("|", "src", F.lit("SUPPLIES_TO"), "tgt", "l_returnflag").alias("edge_id"),
+        "src",
+        "tgt",
         F.lit("SUPPLIES_TO").alias("type"),
         flag.alias("subtype"),
         ((10 - F.col("d")) / 10).alias("confidence"),
@@ -70,7 +88,7 @@ def supplies(spark: SparkSession, sf_dir: str) -> DataFrame:
         day(F.col("first")).alias("first_seen"),
         day(F.col("last")).alias("last_seen"),
         F.when(flag == "R", day(F.date_add("last", 300))).alias("valid_until"),
-        F.when(F.col("o_custkey") % 13 == 0, F.lit(None)).otherwise(~((flag == "A") & (F.col("l_suppkey") % 5 == 0))).alias("is_current"),
+        F.when(customer % 13 == 0, F.lit(None)).otherwise(~((flag == "A") & (supplier % 5 == 0))).alias("is_current"),
         F.when(flag == "N", 365).when(flag == "R", 180).otherwise(0).alias("refresh_cycle_days"),
         (both % 11 == 0).alias("suspect"),
         F.when(both % 33 == 0, "wrong_type").when(both % 33 == 11, "insufficient").alias("stage1"),
@@ -82,9 +100,13 @@ def supplies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def simple_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, tgt, type): DEVELOPS, DEPENDS_ON and REGULATES."""
     line = table(spark, sf_dir, "lineitem")
-    develops = line.select(key("S", "l_suppkey").alias("src"), key("P", "l_partkey").alias("tgt")).distinct().withColumn("type", F.lit("DEVELOPS"))
+    rows = line.count()
+    # told apart as numbers, and only where they meet: a map of a whole split's pairs would hold nearly all of its rows
+    distinct = lambda df, *ends: dealt(df.select(*ends), rows, *ends).distinct()
+    develops = distinct(line, "l_suppkey", "l_partkey").select(key("S", "l_suppkey").alias("src"), key("P", "l_partkey").alias("tgt"), F.lit("DEVELOPS").alias("type"))
     order = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    depends = line.select("l_orderkey", "l_partkey").join(order, "l_orderkey").select(key("C", "o_custkey").alias("src"), key("P", "l_partkey").alias("tgt")).distinct().withColumn("type", F.lit("DEPENDS_ON"))
+    bought = line.select("l_orderkey", "l_partkey").join(order, "l_orderkey")
+    depends = distinct(bought, "o_custkey", "l_partkey").select(key("C", "o_custkey").alias("src"), key("P", "l_partkey").alias("tgt"), F.lit("DEPENDS_ON").alias("type"))
     regulates = table(spark, sf_dir, "supplier").select(key("N", "s_nationkey").alias("src"), key("S", "s_suppkey").alias("tgt")).withColumn("type", F.lit("REGULATES"))
     return develops.unionByName(depends).unionByName(regulates)
 

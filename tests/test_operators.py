@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodegraph.operators import ranking, relations, resolution, retrieval
+from lodegraph.sources import graph as G
 
 
 def keep(df):
@@ -96,3 +98,27 @@ def test_connected_raises_rather_than_return_unfinished(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(64)], "a long, b long")
     with pytest.raises(RuntimeError, match="not complete"):
         resolution.connected(path, keep, most_rounds=2)
+
+
+def test_products_of_a_batch_are_not_held_at_once():
+    rng = np.random.default_rng(5)
+    q, x, own = rng.standard_normal((2048, 8)), rng.integers(-2, 3, (3000, 8)).astype(float), np.arange(3000)[::-1].copy()
+    tracemalloc.start()
+    ids, s = retrieval.nearest(q, x, own, 10)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2048 * 3000 * 8 * 1.5
+    all_ = np.round(q[:50] @ x.T, 9)
+    order = np.lexsort((np.broadcast_to(own, all_.shape), -all_), axis=1)[:, :10]
+    assert (ids[:50] == own[order]).all() and (s[:50] == np.take_along_axis(all_, order, 1)).all()
+
+
+def test_tasks_grow_in_number_with_the_lines(spark, monkeypatch):
+    df = spark.range(10).withColumn("k", F.col("id") % 3)
+    assert [G.dealt(df, n, "k").rdd.getNumPartitions() for n in (0, 3_000_000, 36_000_000)] == [1, 12, 144]
+    monkeypatch.setattr(G, "ROWS_A_TASK", 1000)
+    # neither the edges nor their pairs are shuffled again, and no map over a whole split comes before
+    pairs = G.supplies(spark, "/root/testdata/sf0.001").groupBy("src", "tgt").agg(F.sum("corroboration").alias("n"))
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
+    assert plan.rindex("HashAggregate") < plan.index("REPARTITION_BY_NUM")
