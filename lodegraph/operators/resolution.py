@@ -59,3 +59,18 @@ def event_pairs(events: DataFrame, *, months: int = 2) -> DataFrame:
     e = events.select("event_id", "company", "event_type", V.month_number(F.col("occurred_at")).alias("m"))
     w = W.partitionBy("company", "event_type").orderBy("m", "event_id")
     return e.withColumn("p", F.lag("event_id").over(w)).withColumn("pm", F.lag("m").over(w)).where(F.col("m") - F.col("pm") <= months).select(F.col("p").alias("a"), F.col("event_id").alias("b"))
+
+
+def event_runs(events: DataFrame, *, months: int = 2) -> DataFrame:
+    """(a, b): events of one company and type whose months lie within `months` of each other, as stars; event_pairs has them as chains.
+
+    Sorted by month within company and type, events with no wider gap between neighbours are a run, each linked to the
+    run's first: a linear number of links whose components are those of all such pairs, complete after a round.
+    """
+    from pyspark.sql.window import Window as W
+
+    e = events.select("event_id", "company", "event_type", V.month_number(F.col("occurred_at")).alias("m")).where("m IS NOT NULL")
+    w = W.partitionBy("company", "event_type").orderBy("m", "event_id")
+    near = F.coalesce(F.col("m") - F.lag("m").over(w) <= months, F.lit(False))
+    first = F.last(F.when(~F.col("near"), F.col("event_id")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
+    return e.withColumn("near", near).withColumn("a", first).where("near").select("a", F.col("event_id").alias("b"))

@@ -126,7 +126,7 @@ def compact_keys(spark, d):
 
 @query("/*+with*/ m AS (SELECT company, event_type, event_id, CAST(substr(occurred_at, 1, 4) AS INT) * 12 + CAST(substr(occurred_at, 6, 2) AS INT) AS m FROM ev), c AS (SELECT *, sum(CASE WHEN m - pm <= 2 THEN 0 ELSE 1 END) OVER (PARTITION BY company, event_type ORDER BY m, event_id) AS g FROM (SELECT *, lag(m) OVER (PARTITION BY company, event_type ORDER BY m, event_id) AS pm FROM m)) SELECT event_id AS node, min(event_id) OVER (PARTITION BY company, event_type, g) AS component FROM (SELECT *, count(*) OVER (PARTITION BY company, event_type, g) AS n FROM c) WHERE n > 1")
 def event_groups(spark, d):
-    pairs = resolution.event_pairs(G.events(spark, d))
+    pairs = resolution.event_runs(G.events(spark, d))
     return resolution.connected(pairs, shared_checkpoint(spark))
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodegraph.operators import ranking, relations, resolution, retrieval
+from lodegraph.operators import articles, ranking, relations, resolution, retrieval
 from lodegraph.sources import graph as G
 
 
@@ -122,3 +122,27 @@ def test_tasks_grow_in_number_with_the_lines(spark, monkeypatch):
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
     assert plan.rindex("HashAggregate") < plan.index("REPARTITION_BY_NUM")
+
+
+def test_runs_of_events_are_stars(spark):
+    rows = [(f"e{i:02}", "c", "t", f"2024-{1 + i // 3:02}-01") for i in range(30)] + [("x1", "c", "t", "2026-01-01"), ("x2", "c", "t", "2026-03-01"), ("n", "c", "t", None), ("o", "d", "t", "2024-01-01")]
+    got = sorted(tuple(r) for r in resolution.event_runs(spark.createDataFrame(rows, "event_id string, company string, event_type string, occurred_at string")).collect())
+    assert got == [("e00", f"e{i:02}") for i in range(1, 30)] + [("x1", "x2")]
+
+
+def test_texts_without_an_address_are_spread(spark):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        wanted = spark.range(400).selectExpr("id AS pos", "'e' || id AS evidence_id")
+        texts = spark.range(400).selectExpr("'e' || id AS evidence_id", "CASE WHEN id = 7 THEN 'see https://a/7)' ELSE 'x' END AS text", "CASE WHEN id = 9 THEN 'r9' END AS rcept_no", "0 AS occurred_at")
+        press = spark.createDataFrame([("https://a/7", "Daily", "2024-02-02"), (None, "none", None), (" e3", "none", None)], "url string, press string, published_at string")
+        titles = spark.createDataFrame([("r9", "title"), (None, "none"), (" e4", "none")], "rcept_no string, title string")
+        out = articles.evidence_for(wanted, texts, press, titles)
+        assert {(r.pos, r.press, r.source_doc) for r in out.where("press IS NOT NULL").collect()} == {(7, "Daily", "https://a/7"), (9, "title", "r9")}
+        tasks = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(tasks) == 400 and max(tasks) < 200
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
