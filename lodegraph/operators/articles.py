@@ -97,7 +97,11 @@ def evidence_for(wanted: DataFrame, texts: DataFrame, press: DataFrame, titles:
     """
     url = F.nullif(F.regexp_replace(F.regexp_extract("text", r"https?://\S+", 0), "[)）」]+$", ""), F.lit(""))
     t = texts.withColumn("_there", F.lit(True)).withColumn("url", url).withColumn("rcept_no", F.nullif("rcept_no", F.lit("")))
-    j = wanted.join(t, "evidence_id", "left").join(press, "url", "left").join(titles, "rcept_no", "left")
+    j = wanted.join(t, "evidence_id", "left")
+    # most texts lack one or the other: these rows would all meet in the task of the null key
+    for known, c in ((press, "url"), (titles, "rcept_no")):
+        spread = F.coalesce(c, F.concat(F.lit(" "), "evidence_id"))
+        j = j.withColumn("_at", spread).join(known.withColumnRenamed(c, "_known"), F.col(c).isNotNull() & (F.col("_at") == F.col("_known")), "left").drop("_at", "_known")
     day = F.when(F.col("occurred_at") > 19000000, F.to_date(F.col("occurred_at").cast("string"), "yyyyMMdd").cast("string"))
     there = F.coalesce("_there", F.lit(False))
     return j.select(
