@@ -88,5 +88,6 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(edge_id, side, key): ends that no node has."""
-    ends = edges.select("edge_id", F.lit("src").alias("side"), F.col("src").alias("key")).unionByName(edges.select("edge_id", F.lit("tgt").alias("side"), F.col("tgt").alias("key")))
+    end = lambda c: F.struct(F.lit(c).alias("side"), F.col(c).alias("key"))
+    ends = edges.select("edge_id", F.explode(F.array(end("src"), end("tgt"))).alias("e")).select("edge_id", "e.*")
     return ends.join(nodes.select("key"), "key", "left_anti").select("edge_id", "side", "key")
