@@ -65,6 +65,26 @@ def test_groups_are_those_of_one_pair_at_a_time(spark, checkpoint, seed, most):
     assert {r.node: r.grp for r in got.collect()} == one_by_one(nodes, pairs)
 
 
+@pytest.mark.parametrize(("seed", "most"), [(5, 0), (6, 30)])
+def test_groups_by_levels_are_those_of_one_pair_at_a_time(spark, checkpoint, seed, most):
+    rng = random.Random(seed)
+    nodes = []
+    for i in range(40):
+        low = rng.choice([None, rng.randrange(40)])
+        nodes.append((f"n{i:02}", rng.sample("ab", rng.choice([0, 1, 1])), low, None if low is None else low + rng.choice([0, 3]), rng.random() < 0.4))
+    pairs = sorted({(*sorted(rng.sample([x[0] for x in nodes], 2)),) for _ in range(90)})
+    pairs = [(a, b, rng.choice([0.6, 0.8, 1.0])) for a, b in pairs]
+    got = em.closed(spark.createDataFrame(nodes, NODES), spark.createDataFrame(pairs, "a string, b string, alike double"), checkpoint, most_pairs=most)
+    assert {r.node: r.grp for r in got.collect()} == one_by_one(nodes, pairs)
+
+
+def test_a_hub_takes_many_pairs_in_a_round(spark, checkpoint):
+    nodes = [(f"n{i:02}", [], None, None, False) for i in range(40)]
+    pairs = [("n00", f"n{i:02}", -1.0, i) for i in range(1, 40)]
+    got = em.in_rounds(spark.createDataFrame(nodes, NODES), spark.createDataFrame(pairs, "a string, b string, s double, h long"), checkpoint, most_rounds=4)
+    assert {r.grp for r in got.collect()} == {"n00"}
+
+
 def test_too_many_rounds_are_an_error(spark, checkpoint):
     nodes = [(f"n{i}", [], None, None, False) for i in range(4)]
     pairs = [("n0", "n1", -0.6, 0), ("n1", "n2", -0.8, 0), ("n2", "n3", -1.0, 0)]
