@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import edges as E
+from ..sources.graph import over
 from .relations import degrees, one_hop, scored, top_per_key
 
 
@@ -58,25 +59,32 @@ def bottlenecks(first: DataFrame, second: DataFrame, anchors: Sequence[str], *,
     return hits.join(reached, "mid").join(degrees(both).withColumnRenamed("key", "mid"), "mid").where(F.col("degree") <= most_degree)
 
 
-def propagate(impacts: DataFrame, edges: DataFrame, today: str, *, min_score: float = S.MIN_SCORE) -> DataFrame:
+def with_fan(best: DataFrame, legs: DataFrame) -> DataFrame:
+    """best (company, channel, ...) with `fan`, the legs of its company and channel; joined by company alone, by which best may lie already."""
+    fan = legs.groupBy("company").agg(F.count_if(F.col("channel") == "supply").alias("_supply"), F.count_if(F.col("channel") == "demand").alias("_demand"))
+    return best.join(fan, "company").withColumn("fan", F.when(F.col("channel") == "supply", F.col("_supply")).otherwise(F.col("_demand"))).drop("_supply", "_demand")
+
+
+def propagate(impacts: DataFrame, edges: DataFrame, today: str, *, min_score: float = S.MIN_SCORE, tasks: int | None = None) -> DataFrame:
     """(event_id, company, hops, score, channel): what an event does to companies, reported and through supply.
 
     First hop: confidence of the impact (it has no date of its own, so it counts as unknown). Second: over visible
     edges that have not ended, down to customers and up to suppliers with their own decay, weakened by the fan of the
-    company passed. Each company keeps its best; of equals the reported one.
+    company passed. Each company keeps its best; of equals the reported one. tasks is over how many of them legs, by
+    company, and what they reach, by event, are dealt.
     """
     direct = impacts.select("event_id", F.col("target").alias("company"), (E.or_default("confidence", S.DEFAULT_CONFIDENCE) * S.UNKNOWN).alias("s1"))
     seen = scored(edges.where(E.visible_to_propagation()), today)
     flow = lambda a, b, name, decay: seen.select(F.col(a).alias("company"), F.col(b).alias("other"), F.col("factor"), F.coalesce("is_current", F.lit(True)).alias("on"), F.lit(name).alias("channel"), F.lit(decay).alias("decay"))
     legs = flow("src", "tgt", "supply", S.HOP_SUPPLY).unionByName(flow("tgt", "src", "demand", S.HOP_DEMAND))
-    fan = legs.groupBy("company", "channel").agg(F.count("*").alias("fan"))
     # Of parallel edges between two companies only the freshest can win, so legs are reduced before events meet them.
-    best = legs.where("on").groupBy("company", "other", "channel", "decay").agg(F.max("factor").alias("factor"))
-    best = best.join(fan, ["company", "channel"]).withColumn("weight", F.col("decay") * F.col("factor") * E.hub_penalty(F.col("fan")))
+    best = over(legs.where("on"), tasks, "company").groupBy("company", "other", "channel", "decay").agg(F.max("factor").alias("factor"))
+    best = with_fan(best, legs).withColumn("weight", F.col("decay") * F.col("factor") * E.hub_penalty(F.col("fan")))
     # A leg too weak for the surest event is too weak for all; half a unit of the rounded score is left as margin.
     best = best.where(F.col("weight") * direct.agg(F.max("s1")).scalar() >= min_score - 1e-6)
-    second = direct.join(best, "company").select("event_id", F.col("other").alias("company"), F.lit(2).alias("hops"), (F.col("s1") * F.col("weight")).alias("score"), "channel")
+    second = over(direct, tasks, "company").join(best, "company").select("event_id", F.col("other").alias("company"), F.lit(2).alias("hops"), (F.col("s1") * F.col("weight")).alias("score"), "channel")
     first = direct.select("event_id", "company", F.lit(1).alias("hops"), F.col("s1").alias("score"), F.lit("").alias("channel"))
     all_ = first.unionByName(second.where("company is not null")).withColumn("score", E.three(F.col("score"), 6)).where(F.col("score") >= min_score)
+    all_ = over(all_, tasks, "event_id")
     pick = F.max(F.struct("score", (-F.col("hops")).alias("h"), "channel")).alias("p")
     return all_.groupBy("event_id", "company").agg(pick).select("event_id", "company", (-F.col("p.h")).alias("hops"), F.col("p.score").alias("score"), F.col("p.channel").alias("channel"))

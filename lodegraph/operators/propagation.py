@@ -15,6 +15,8 @@ from pyspark.sql.window import Window as W
 
 from .. import schema as S
 from ..functions import edges as E
+from ..sources.graph import over
+from .patterns import with_fan
 from .relations import scored
 
 
@@ -24,35 +26,37 @@ def lifted(impacts: DataFrame, units: DataFrame) -> DataFrame:
     return impacts.join(u, "target", "left").withColumn("target", F.coalesce("parent", "target")).drop("parent")
 
 
-def legs(edges: DataFrame, today: str) -> DataFrame:
+def legs(edges: DataFrame, today: str, tasks: int | None = None) -> DataFrame:
     """(company, other, channel, weight): down to customers and up to suppliers; of parallel edges the freshest. Edges that have ended count for the fan alone."""
     seen = scored(edges.where(E.visible_to_propagation()), today)
     flow = lambda a, b, name, decay: seen.select(F.col(a).alias("company"), F.col(b).alias("other"), "factor", F.coalesce("is_current", F.lit(True)).alias("on"), F.lit(name).alias("channel"), F.lit(decay).alias("decay"))
     both = flow("src", "tgt", "supply", S.HOP_SUPPLY).unionByName(flow("tgt", "src", "demand", S.HOP_DEMAND))
-    fan = both.groupBy("company", "channel").agg(F.count("*").alias("fan"))
-    best = both.where(F.col("on") & F.col("other").isNotNull()).groupBy("company", "other", "channel", "decay").agg(F.max("factor").alias("factor"))
-    return best.join(fan, ["company", "channel"]).select("company", "other", "channel", (F.col("decay") * (F.col("factor") * E.hub_penalty(F.col("fan")))).alias("weight"))
+    on = over(both.where(F.col("on") & F.col("other").isNotNull()), tasks, "company")
+    best = on.groupBy("company", "other", "channel", "decay").agg(F.max("factor").alias("factor"))
+    return with_fan(best, both).select("company", "other", "channel", (F.col("decay") * (F.col("factor") * E.hub_penalty(F.col("fan")))).alias("weight"))
 
 
-def spread(impacts: DataFrame, edges: DataFrame, today: str, write, *, max_hops: int = 2, min_score: float = S.MIN_SCORE) -> DataFrame:
+def spread(impacts: DataFrame, edges: DataFrame, today: str, write, *, max_hops: int = 2, min_score: float = S.MIN_SCORE, tasks: int | None = None) -> DataFrame:
     """(event_id, company, hops, score, stated, channel, path): every company an event reaches, by its best way.
 
     impacts (event_id, target, confidence, unit). Of equal scores the fewest hops stand, then the greatest channel, then
     the least path. path lists (company, channel) from the first hop on; the first has the unit that was hit. write makes
-    a table of each round's frontier, which holds one row per event and company.
+    a table of each round's frontier, which holds one row per event and company. tasks is over how many of them legs and
+    the frontier, by company, and what it reaches, by event, are dealt.
     """
     base = E.or_default("confidence", S.DEFAULT_CONFIDENCE) * S.UNKNOWN
     first = impacts.where("target IS NOT NULL").select("event_id", F.col("target").alias("company"), F.lit(1).alias("hops"), base.alias("raw"), F.lit("").alias("channel"), F.array(F.struct(F.col("target").alias("company"), F.coalesce("unit", F.lit("")).alias("channel"))).alias("path"))
-    frontier = write(_best(first.where(F.col("raw") >= min_score - 1e-6)))
-    steps, found = write(legs(edges, today)), frontier
+    frontier = write(_best(over(first.where(F.col("raw") >= min_score - 1e-6), tasks, "event_id")))
+    steps, found = write(legs(edges, today, tasks)), frontier
     for hop in range(2, max_hops + 1):
         # a leg too weak for the surest company of the frontier is too weak for all
         strong = steps.where(F.col("weight") * frontier.agg(F.max("raw")).scalar() >= min_score - 1e-6)
-        met = frontier.select("event_id", "company", "raw", "path").join(strong, "company").withColumn("raw", F.col("raw") * F.col("weight")).where(F.col("raw") >= min_score - 1e-6)
+        met = over(frontier.select("event_id", "company", "raw", "path"), tasks, "company").join(over(strong, tasks, "company"), "company").withColumn("raw", F.col("raw") * F.col("weight")).where(F.col("raw") >= min_score - 1e-6)
         grown = F.concat("path", F.array(F.struct(F.col("other").alias("company"), "channel")))
-        frontier = write(_best(met.select("event_id", F.col("other").alias("company"), F.lit(hop).alias("hops"), "raw", "channel", grown.alias("path"))))
+        reached = met.select("event_id", F.col("other").alias("company"), F.lit(hop).alias("hops"), "raw", "channel", grown.alias("path"))
+        frontier = write(_best(over(reached, tasks, "event_id")))
         found = found.unionByName(frontier)
-    rounded = _best(found.withColumn("score", E.three(F.col("raw"), 6)).where(F.col("score") >= min_score), "score")
+    rounded = _best(over(found.withColumn("score", E.three(F.col("raw"), 6)).where(F.col("score") >= min_score), tasks, "event_id"), "score")
     return rounded.select("event_id", "company", "hops", "score", (F.col("hops") == 1).alias("stated"), "channel", "path")
 
 

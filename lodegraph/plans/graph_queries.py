@@ -159,7 +159,7 @@ SELECT event_id, company, hops, score, channel FROM (SELECT *, row_number() OVER
 
 @query(_PROPAGATE)
 def propagate(spark, d):
-    return patterns.propagate(G.impacts(spark, d), G.supplies(spark, d), TODAY)
+    return patterns.propagate(G.impacts(spark, d), G.supplies(spark, d), TODAY, tasks=G.line_tasks(spark, d))
 
 
 @query("""/*+with*/ lines AS (SELECT 'S' || l_suppkey AS src, 'C' || o_custkey AS tgt, l_returnflag AS subtype, l_orderkey * 10 + l_linenumber AS line, (10 - CAST(round(l_discount * 100) AS INT)) / 10 AS confidence, strftime(l_shipdate, '%Y-%m-%d') AS last_seen, 'order-' || l_orderkey AS doc FROM lineitem JOIN orders ON l_orderkey = o_orderkey)

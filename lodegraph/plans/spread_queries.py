@@ -26,7 +26,7 @@ def _spread(spark, d):
     impacts = G.impacts(spark, d)
     units = impacts.select(F.col("target").alias("key")).distinct().where("CAST(substr(key, 2) AS INT) % 5 = 2")
     units = units.select("key", F.concat(F.lit("S"), (F.substring("key", 2, 20).cast("int") - 1).cast("string")).alias("parent"), F.lit("plant").alias("unit"))
-    found = propagation.spread(propagation.lifted(impacts, units), G.supplies(spark, d), TODAY, scratch.written)
+    found = propagation.spread(propagation.lifted(impacts, units), G.supplies(spark, d), TODAY, scratch.written, tasks=G.line_tasks(spark, d))
     return found.withColumn("path", F.array_join(F.transform("path", lambda p: F.concat_ws(":", p["company"], p["channel"])), ">"))
 
 
@@ -44,7 +44,7 @@ def propagation_lines(spark, d):
     from pyspark.sql.window import Window as W
 
     answer = F.floor(F.substring("event_id", 2, 20).cast("int") / 5)
-    rows = _spread(spark, d).withColumn("answer_id", answer)
+    rows = G.over(_spread(spark, d).select("event_id", "company", "stated").withColumn("answer_id", answer), G.line_tasks(spark, d), "answer_id")
     rows = rows.withColumn("pos", F.row_number().over(W.partitionBy("answer_id").orderBy("company", "event_id")))
     kept, _ = propagation.fair_lines(rows, 15)
     return kept.select("answer_id", "event_id", "company")

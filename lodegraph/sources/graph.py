@@ -21,10 +21,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 ROWS_A_TASK = 250_000
 
 
+def tasks_of(spark: SparkSession, rows: int) -> int:
+    """As many tasks as so many rows need."""
+    return max(min(spark.sparkContext.defaultParallelism, math.ceil(rows / 50_000)), math.ceil(rows / ROWS_A_TASK), 1)
+
+
+def line_tasks(spark: SparkSession, sf_dir: str) -> int:
+    """tasks_of() the lines, with which edges and impacts grow."""
+    return tasks_of(spark, table(spark, sf_dir, "lineitem").count())
+
+
 def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     """df by keys over as many tasks as so many rows need: left to itself, Spark merges tasks until their memory grows with the table."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(max(min(cores, math.ceil(rows / 50_000)), math.ceil(rows / ROWS_A_TASK), 1), *keys)
+    return df.repartition(tasks_of(df.sparkSession, rows), *keys)
+
+
+def over(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    """df by keys over so many tasks, or as it is: for joins whose rows in are few and rows out are many."""
+    return df.repartition(tasks, *keys) if tasks else df
 
 
 def key(prefix: str, column: str) -> Column:

@@ -87,3 +87,13 @@ def test_lines_in_turns(spark, limit):
     kept, dropped = propagation.fair_lines(spark.createDataFrame(rows, "answer_id int, event_id string, pos int, stated boolean, company string"), limit)
     assert {tuple(r) for r in kept.collect()} == set().union(*(k for k, _ in want))
     assert {tuple(r) for r in dropped.collect()} == set().union(*(x for _, x in want))
+
+
+def test_legs_and_reach_are_dealt_over_given_tasks(spark):
+    edges, impacts = graph(spark, 5)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert any("REPARTITION_BY_NUM" in line and ", 7)" in line for line in plan(propagation.legs(edges, TODAY, 7)).splitlines())
+    some = impacts.withColumn("unit", F.lit(None).cast("string"))
+    one, other = (propagation.spread(some, edges, TODAY, scratch.written, tasks=n) for n in (None, 7))
+    assert sorted(map(str, one.collect())) == sorted(map(str, other.collect()))
+    assert any("REPARTITION_BY_NUM" in line and ", 7)" in line for line in plan(other).splitlines())
