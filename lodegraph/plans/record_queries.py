@@ -331,7 +331,7 @@ def type_verdicts(spark, d):
     back = F.col("type") == "REGULATES"
     e = e.withColumn("asked", F.when(back, "REGULATES").when(F.col("src").endswith("7"), "PARTNERS_WITH").otherwise("DEPENDS_ON"))
     e = e.select(F.when(back, F.col("tgt")).otherwise(F.col("src")).alias("src"), F.when(back, F.col("src")).otherwise(F.col("tgt")).alias("tgt"), F.when(F.col("type") == "DEPENDS_ON", "PARTNERS_WITH").otherwise(F.col("type")).alias("type"), "asked")
-    return reports.type_verdicts(e.withColumn("edge_id", F.concat("src", "tgt")), G.nodes(spark, d)).select("edge_id", "verdict")
+    return reports.type_verdicts(e, G.nodes(spark, d), F.concat("src", "tgt"))
 
 
 @query("SELECT key, NOT met AND NOT seed AS is_orphan, CASE WHEN NOT met AND seed THEN 'refused' WHEN NOT met AND NOT marked THEN 'mark' WHEN met AND marked THEN 'unmark' END AS change FROM (SELECT key, key IN (SELECT src FROM supplies UNION SELECT tgt FROM supplies) AS met, key LIKE '%5' AS seed, key LIKE '%3' AS marked FROM nodes)")

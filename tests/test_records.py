@@ -131,3 +131,14 @@ def test_trigram_matches_against_all_pairs(spark):
         got = retrieval.trigram_matches(spark.createDataFrame([(x,) for x in asked], "candidate string"), spark.createDataFrame([(x,) for x in names], "name string"), threshold=t)
         want = {(a, b) for a, b in itertools.product(asked, names) if grams(a) and len(grams(a) & grams(b)) >= t * len(grams(a) | grams(b))}
         assert {(r.candidate, r.name) for r in got.collect()} == want
+
+
+def test_type_verdicts_move_no_id_made_of_the_ends(spark):
+    from lodegraph.operators import reports
+
+    nodes = spark.createDataFrame([("C1", "Company"), ("P1", "Product"), ("N1", "Organization")], "key string, label string")
+    rows = [("C1", "P1", "DEVELOPS", "DEPENDS_ON"), ("P1", "C1", "PARTNERS_WITH", "DEPENDS_ON"), ("C1", "P1", "DEVELOPS", "UNKNOWN"), ("C1", "zz", None, None)]
+    edges = spark.createDataFrame(rows, "src string, tgt string, type string, asked string").withColumn("edge_id", F.concat("src", "tgt"))
+    with_id = sorted(map(tuple, reports.type_verdicts(edges, nodes).collect()))
+    assert with_id == sorted(map(tuple, reports.type_verdicts(edges.drop("edge_id"), nodes, F.concat("src", "tgt")).collect()))
+    assert {("C1P1", "keep"), ("C1zz", "keep"), ("C1P1", "forward"), ("P1C1", "judge")} == set(with_id)
