@@ -49,7 +49,7 @@ def merge_persons(persons: DataFrame, holdings: DataFrame, rosters: DataFrame, c
     are formed within a name by equal keys, not between all its rows: a firm, a group of firms, or the owners. A
     component with two births is split by birth, its rows without one staying with the least.
     """
-    both = roster_pairs(rosters, overlap)
+    both = roster_pairs(rosters, overlap, checkpoint)  # a table, as it is read four times
     groups = resolution.connected(both.select("a", "b"), checkpoint).withColumnRenamed("node", "company")
     posts = holdings.distinct().join(groups, "company", "left").select("key", F.coalesce("component", "company").alias("block"))
     rows = persons.join(posts, "key").select("key", "name", F.concat(F.lit("firm "), "block").alias("block"))

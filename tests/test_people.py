@@ -73,3 +73,15 @@ def test_query_against_a_closure(spark):
 def test_nobody(spark):
     none = spark.createDataFrame([], "company int, member int")
     assert people.roster_pairs(none, 2, scratch.written).count() == 0
+
+
+def test_rosters_are_written_once_for_persons(spark):
+    from lodegraph.operators import people
+    from lodegraph.sources import scratch
+
+    written = []
+    persons = spark.createDataFrame([("a", "n", None, False), ("b", "n", "1960-01", False)], "key string, name string, birth string, self_owner boolean")
+    posts = spark.createDataFrame([("a", "x"), ("b", "y")], "key string, company string")
+    rosters = spark.createDataFrame([(c, m) for c in "xy" for m in "mn"], "company string, member string")
+    got = people.merge_persons(persons, posts, rosters, lambda df: written.append(df.columns) or scratch.written(df))
+    assert [tuple(r) for r in got.collect()] == [("a", "b")] and written.count(["company", "members"]) == 1
