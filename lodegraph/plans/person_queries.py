@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import people
 from ..sources import scratch
 from .record_queries import Rows
@@ -21,4 +19,4 @@ def roster_pairs(spark, d):
 @query(None, with_graph=False)
 def person_merge(spark, d):
     p = PERSONS.df(spark, d)
-    return people.merge_persons(p.drop("company"), p.select("key", "company"), ROSTERS.df(spark, d).where(F.col("member") % 3 == 0), scratch.written, overlap=2)
+    return people.merge_persons(p.drop("company"), p.select("key", "company"), ROSTERS.df(spark, d), scratch.written, overlap=2)

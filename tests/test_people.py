@@ -85,3 +85,10 @@ def test_rosters_are_written_once_for_persons(spark):
     rosters = spark.createDataFrame([(c, m) for c in "xy" for m in "mn"], "company string, member string")
     got = people.merge_persons(persons, posts, rosters, lambda df: written.append(df.columns) or scratch.written(df))
     assert [tuple(r) for r in got.collect()] == [("a", "b")] and written.count(["company", "members"]) == 1
+
+
+def test_query_reads_whole_rosters(spark, tmp_path):
+    # firms 1 and 2 have the members 1 and 2 in common; 244 and 41857 bear one name
+    spark.createDataFrame([(244, 1), (488, 1), (1253, 2), (41857, 2)], "event_id long, user_id long").write.parquet(str(tmp_path / "events.parquet"))
+    assert {r.member for r in person_queries.ROSTERS.df(spark, str(tmp_path)).collect()} == {1, 2}
+    assert [tuple(r) for r in catalogue.queries()["person_merge"](spark, str(tmp_path)).collect()] == [(41857, 244)]
