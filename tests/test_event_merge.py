@@ -169,3 +169,33 @@ def test_query_over_all_events(spark):
     assert len(got) == 1000 and got == {i: merged.get(same[i], same[i]) for i in got} | {i: i for i in got if i not in same}
     assert len(set(got.values())) < 900
     assert {r.grp for r in catalogue.queries()["event_merge_timelines"](spark, sf).collect()} == {g for g in got.values() if list(got.values()).count(g) > 1}
+
+
+@pytest.mark.parametrize(("seed", "most"), [(8, 25), (9, None)])
+def test_groups_by_ranges_are_those_of_one_pair_at_a_time(spark, checkpoint, seed, most):
+    rng = random.Random(seed)
+    sigs = []
+    for i in range(70):
+        low = rng.choice([None, rng.randrange(40)])
+        sigs.append((f"s{i}", rng.sample(["c1", "c2", "c3"], rng.choice([0, 1, 1, 2])), sorted(rng.sample("가나다라마", rng.randrange(5))), rng.sample("ab", rng.choice([0, 1, 1])), low, None if low is None else low + rng.choice([0, 3]), rng.random() < 0.4))
+    alike = lambda a, b: round(len(set(a) & set(b)) / min(len(a), len(b)), 3) if a and b else 0
+    pairs = [(a[0], b[0], alike(a[2], b[2])) for a in sigs for b in sigs if a[0] < b[0] and set(a[1]) & set(b[1]) and alike(a[2], b[2]) >= 0.5]
+    want = one_by_one([(a[0], *a[3:]) for a in sigs], pairs)
+    df = spark.createDataFrame(sigs, f"{SIGS}, subjects array<string>, low int, high int, recurs boolean")
+    got = {r.node: r.grp for r in em.by_range(df, checkpoint, least=0.5, most=most).collect()}
+    assert got == {a[0]: want.get(a[0], a[0]) for a in sigs} and len(pairs) > 300
+
+
+def test_pairs_of_like_events_are_not_all_listed(spark, checkpoint, monkeypatch):
+    # 120 events of one company and name, in 120 months: 7,140 pairs
+    monkeypatch.setattr(em, "MOST_PAIRS", 500)
+    written = []
+    events = [ev(f"e{i:03}", "세종 신사옥 착공", ["네이버"], [], [f"{2000 + i // 12}-{i % 12 + 1:02}-01"]) for i in range(120)]
+    got = em.merge(spark.createDataFrame(events, EVENTS), lambda df: [t := checkpoint(df), written.append(t.count())][0])
+    assert {r.grp for r in got.collect()} == {"e000"} and max(written) < 2500
+
+
+def test_places_in_the_order_of_pairs():
+    sizes = [100, 10, 1000]
+    assert em.range_end(0.0, 50, sizes) == 0.5 and em.range_end(0.5, 60, sizes) == 2.0 and em.range_end(2.5, 10**6, sizes) == 3.0
+    assert em.of_range(0.5, 2.25, sizes) == 50 + 10 + 250
