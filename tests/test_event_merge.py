@@ -199,3 +199,16 @@ def test_places_in_the_order_of_pairs():
     sizes = [100, 10, 1000]
     assert em.range_end(0.0, 50, sizes) == 0.5 and em.range_end(0.5, 60, sizes) == 2.0 and em.range_end(2.5, 10**6, sizes) == 3.0
     assert em.of_range(0.5, 2.25, sizes) == 50 + 10 + 250
+
+
+def test_timelines_without_a_list_of_pairs(spark, tmp_path, monkeypatch):
+    from lodegraph.plans import catalogue
+    from lodegraph.sources import scratch
+
+    # 120 events of one name at one company, each with another one: 7,140 pairs
+    spark.createDataFrame([(20 + 504 * k, 5 + 199 * k) for k in range(120)], "event_id long, user_id long").write.parquet(str(tmp_path / "events.parquet"))
+    kept, rows = scratch.written, []
+    monkeypatch.setattr(scratch, "written", lambda df: [t := kept(df), rows.append(t.count())][0])
+    monkeypatch.setattr(em, "MOST_PAIRS", 500)
+    got = catalogue.queries()["event_merge_timelines"](spark, str(tmp_path)).collect()
+    assert [len(r.timeline.split(";")) for r in got] == [120] and max(rows) < 2500
